@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import read
-from . import split
+from . import rank, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -52,3 +53,62 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_chunks(read(spark, d, "chunks", "chunk_id", "file", "lang", "start_line", "text"), read(spark, d, "chunk_limits"))
+
+
+COMPONENTS = ["dense_score", "sparse_score", "rerank_score", "score"]
+
+
+def _horner_sql(cs, x: str) -> str:
+    out = repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _probit_sql(p: str) -> str:
+    low, high, q = f"sqrt(-2.0e0 * ln({p}))", f"sqrt(-2.0e0 * ln(1.0e0 - {p}))", f"({p} - 0.5e0)"
+    return (
+        f"case when {p} < {rank.LOW} then {_horner_sql(rank.C, low)} / {_horner_sql(rank.D, low)} "
+        f"when {p} > {1 - rank.LOW} then -({_horner_sql(rank.C, high)} / {_horner_sql(rank.D, high)}) "
+        f"else {q} * {_horner_sql(rank.A, f'({q} * {q})')} / {_horner_sql(rank.B, f'({q} * {q})')} end"
+    )
+
+
+def _fuse_sql() -> str:
+    clean = ", ".join(f"max(case when not isnan({s}) then {s}::double end) as {s}" for s in COMPONENTS)
+    lows = ", ".join(f"min({s}) over (partition by search_id) as low_{s}" for s in COMPONENTS)
+    filled = ", ".join(f"coalesce({s}, low_{s}) as f_{s}, low_{s}" for s in COMPONENTS)
+    percent = ", ".join(
+        f"(rank() over (partition by search_id order by f_{s}) - 1 + (count(*) over (partition by search_id, f_{s}) + 1) / 2.0e0 - 0.5e0) / n as p_{s}, low_{s}" for s in COMPONENTS
+    )
+    z = ", ".join(f"case when low_{s} is null then 0.0e0 else {_probit_sql(f'p_{s}')} end as z_{s}, case when low_{s} is null then 0.0e0 else 1.0e0 end as w_{s}" for s in COMPONENTS)
+    total, weight = (" + ".join(f"{c}_{s}" for s in COMPONENTS) for c in "zw")
+    return f"""
+with d as (select search_id, result_id, {clean} from search_results where search_id is not null and result_id is not null group by all),
+m as (select *, count(*) over (partition by search_id) as n, {lows} from d),
+f as (select search_id, result_id, n, {filled} from m),
+p as (select search_id, result_id, n, {percent} from f),
+z as (select search_id, result_id, n, {z} from p),
+fused as (select search_id, result_id, n, case when {weight} > 0 then ({total}) / ({weight}) else 0.0e0 end as fused from z)
+"""
+
+
+FIRST_SQL = _fuse_sql() + """
+select search_id, result_id from (select *, row_number() over (partition by search_id order by round(fused, 9) desc, result_id) as place from fused)
+where place = 1 and n >= 5"""
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    return rank.fuse(read(spark, d, "search_results", "search_id", "result_id", *COMPONENTS), "search_id", "result_id", COMPONENTS)
+
+
+@query(FIRST_SQL)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The hit that belongs first in each search of at least five hits."""
+    return _fused(spark, d).filter("place = 1 and n >= 5").select("search_id", "result_id")
+
+
+@query(_fuse_sql() + "select search_id, result_id, n, round(fused, 6) as fused from fused")
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The fused score of every hit."""
+    return _fused(spark, d).select("search_id", "result_id", "n", F.round("fused", 6).alias("fused"))
