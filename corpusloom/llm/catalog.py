@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import read
-from . import rank, split
+from ..tables import read, spread
+from . import leak, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -112,3 +112,50 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:
     """The fused score of every hit."""
     return _fused(spark, d).select("search_id", "result_id", "n", F.round("fused", 6).alias("fused"))
+
+
+WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+
+@query(f"""
+with i as (select distinct item_id, {WORDS_SQL} as w from eval_items where text is not null),
+p as (select distinct item_id, array_to_string(w[k : k + 12], ' ') as passage from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i where len(w) >= 13)),
+d as (select doc_id, {WORDS_SQL} as w from documents where text is not null),
+q as (select doc_id, array_to_string(w[k : k + 12], ' ') as passage from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13))
+select distinct doc_id, item_id from q join p using (passage)""")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a literal passage of a test item, and the item."""
+    return _leaks(spark, d).filter("errors = 0").select("doc_id", "item_id")
+
+
+@query()
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Literal and slightly edited passages."""
+    return _leaks(spark, d)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leak.find_leaks(spread(read(spark, d, "documents", "doc_id", "text")), read(spark, d, "eval_items", "item_id", "text"))
+
+
+SHARES_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents),
+g as (select doc_id, k, array_to_string(w[k : k + 4], ' ') as gram from (select doc_id, w, unnest(range(1, len(w) - 3)) as k from d where len(w) >= 5)),
+a as (select doc_id, k from (select *, min(k) over (partition by doc_id, gram) as first from g) where k > first),
+c as (select doc_id, count(distinct k + o) as n from a cross join (select unnest([0, 1, 2, 3, 4]) as o) group by doc_id),
+s as (select d.doc_id, coalesce(len(w), 0) as n_words, case when len(w) > 0 then coalesce(n, 0) / len(w)::double else 0.0 end as share from d left join c using (doc_id))
+"""
+
+
+@query(SHARES_SQL + "select doc_id from s where share >= 0.3 - 1e-12")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which at least three tenths of the words are repeated."""
+    rows = repeat.repetition(spread(read(spark, d, "documents", "doc_id", "text")), share=0.3)
+    return rows.filter(F.col("suspect") & (F.col("repeated_share") >= 0.3 - 1e-12)).select("doc_id").distinct()
+
+
+@query(SHARES_SQL + "select doc_id, n_words, round(share, 6) as repeated_share from s")
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated share of every document."""
+    rows = repeat.repetition(spread(read(spark, d, "documents", "doc_id", "text")), share=0.3)
+    return rows.select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
