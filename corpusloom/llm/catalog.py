@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read, spread
-from . import leak, rank, repeat, split
+from . import docpairs, leak, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -159,3 +159,15 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """The repeated share of every document."""
     rows = repeat.repetition(spread(read(spark, d, "documents", "doc_id", "text")), share=0.3)
     return rows.select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions whose documentation says something."""
+    return p2_pairs(spark, d).select("chunk_id")
+
+
+@query()
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code with its documentation."""
+    return docpairs.doc_pairs(read(spark, d, "chunks", "chunk_id", "file", "lang", "kind", "name", "text"))
