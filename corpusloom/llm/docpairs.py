@@ -118,10 +118,15 @@ def documentation(chunks: DataFrame) -> DataFrame:
 def doc_pairs(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(chunk_id, lang, name, doc, code, n_words) of functions whose documentation says something."""
     docs = documentation(chunks.select("chunk_id", "file", "lang", "kind", "text"))
-    source = chunks.filter(F.col("kind").isin(KINDS)).select(F.col("chunk_id").alias("_id"), F.col("name").alias("_name"), F.col("text").alias("_text"))
-    pairs = docs.join(source, F.col("chunk_id") == F.col("_id")).withColumn("_tail", F.regexp_extract(F.coalesce("_name", F.lit("")), r"([\w$]*)\W*\z", 1))
-    own = _subwords(F.concat(F.array(F.col("_tail"), F.coalesce("_name", F.lit(""))), F.when(F.col("_tail") == "", F.array().cast("array<string>")).otherwise(_parameters(F.col("_text"), "_tail", F.col("lang")))))
-    said = words(F.regexp_replace(F.regexp_replace("doc", _TAG, " "), _TODO, " "))
-    pairs = pairs.withColumns({"_own": own, "_said": said}).withColumn("n_words", F.size(F.filter("_said", lambda w: ~F.array_contains(F.col("_own"), w))))
-    kept = pairs.filter(F.col("n_words") >= min_words).select("chunk_id", "lang", F.col("_name").alias("name"), "doc", F.col("_text").alias("code"), "n_words")
-    return kept.dropDuplicates(["chunk_id"])
+    docs = docs.withColumn("said", words(F.regexp_replace(F.regexp_replace("doc", _TAG, " "), _TODO, " ")))
+    named = chunks.filter(F.col("kind").isin(KINDS)).select(
+        F.col("chunk_id").alias("_id"), F.coalesce("name", F.lit("")).alias("_name"), "name", "text",
+        F.regexp_extract(F.coalesce("name", F.lit("")), r"([\w$]*)\W*\z", 1).alias("_tail"), language_of(F.col("lang"), F.col("file")).alias("_lang"),
+    )
+    parameters = F.when(F.col("_tail") == "", F.array().cast("array<string>")).otherwise(_parameters(F.col("text"), "_tail", F.col("_lang")))
+    own = _subwords(F.concat(F.array("_tail", "_name"), parameters))
+    # worked out below the join, so that no filter over words works it out again for each of them
+    source = named.select("_id", "name", F.col("text").alias("code"), own.alias("own"))
+    pairs = docs.join(source, F.col("chunk_id") == F.col("_id"))
+    pairs = pairs.withColumn("n_words", F.size(F.filter("said", lambda w: ~F.array_contains(F.col("own"), w))))
+    return pairs.filter(F.col("n_words") >= min_words).select("chunk_id", "lang", "name", "doc", "code", "n_words").dropDuplicates(["chunk_id"])
