@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read, spread
-from . import docpairs, leak, rank, repeat, split
+from . import docpairs, leak, neardup, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -171,3 +171,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code with its documentation."""
     return docpairs.doc_pairs(read(spark, d, "chunks", "chunk_id", "file", "lang", "kind", "name", "text"))
+
+
+def _near(spark: SparkSession, d: str):
+    rows = read(spark, d, "chunks", "chunk_id", "kind", "text").filter(F.col("kind").isin(docpairs.KINDS))
+    return neardup.near_duplicates(rows, "chunk_id", "text", 0.5, 3)
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of functions of different files with at least half of their three-word shingles in common.
+
+    Different texts that are linked come out for every copy of either text, against
+    one copy of the other; copies of one text come out against their representative.
+    """
+    classes, links = _near(spark, d)
+    place = read(spark, d, "chunks", "chunk_id", "repo", "file", "kind").filter(F.col("kind").isin(docpairs.KINDS))
+    return neardup.pairs_between(classes, links, place.select(F.col("chunk_id").alias("id"), F.struct("repo", "file").alias("place")), "chunk_a", "chunk_b")
+
+
+@query()
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every function with the id of its group of near-duplicates and its number of links."""
+    return neardup.groups(*_near(spark, d))
