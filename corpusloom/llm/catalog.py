@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read, spread
-from . import docpairs, leak, neardup, rank, repeat, split
+from . import docpairs, handwritten, leak, neardup, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -194,3 +194,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every function with the id of its group of near-duplicates and its number of links."""
     return neardup.groups(*_near(spark, d))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judge(spread(read(spark, d, "files", "file_id", "repo", "relative_path", "text")))
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that nobody of the repository wrote by hand."""
+    return _judged(spark, d).filter("reason is not null").select("file_id")
+
+
+@query()
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of each language each reason sorts out."""
+    return _judged(spark, d).groupBy("lang", "reason").agg(F.count("*").alias("n"))
