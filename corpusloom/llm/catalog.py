@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read, spread
-from . import docpairs, handwritten, leak, neardup, rank, repeat, split
+from . import docpairs, handwritten, leak, mix, neardup, neighbours, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -210,3 +210,38 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How many files of each language each reason sorts out."""
     return _judged(spark, d).groupBy("lang", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mixture with how often it is used."""
+    return _mix(spark, d)[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source with a target."""
+    return _mix(spark, d)[1]
+
+
+def _mix(spark: SparkSession, d: str):
+    return mix.mix(spread(read(spark, d, "documents", "doc_id", "text", "lang", "source")), read(spark, d, "mix_targets"))
+
+
+@query("""
+with v as (select item_id, min(embedding::double[]) as e from embed_items where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by item_id),
+p as (select a.item_id as item, b.item_id as other, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.item_id <> b.item_id),
+t as (select *, row_number() over (partition by item order by s desc, other) as place from p)
+select distinct least(item, other) as item_a, greatest(item, other) as item_b from t where place <= 5 and s >= 0.85""")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items of which one is among the other's five most similar, at a cosine of 0.85 or more."""
+    near = neighbours.most_similar(read(spark, d, "embed_items", "item_id", "embedding"), "item_id", "embedding", 5, 64, 0.85)
+    return near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
+
+
+@query()
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar items of every item whose id is divisible by 50, against all items."""
+    items = read(spark, d, "embed_items", "item_id", "embedding")
+    asked = items.filter(F.col("item_id") % 50 == 0).select("item_id")
+    return neighbours.most_similar(items, "item_id", "embedding", 5, 64, queries=asked)
