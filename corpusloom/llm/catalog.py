@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read, spread
-from . import docpairs, handwritten, leak, mix, neardup, neighbours, rank, repeat, split
+from . import docpairs, handwritten, invalid, leak, mix, neardup, neighbours, rank, repeat, split
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -245,3 +245,19 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "embed_items", "item_id", "embedding")
     asked = items.filter(F.col("item_id") % 50 == 0).select("item_id")
     return neighbours.most_similar(items, "item_id", "embedding", 5, 64, queries=asked)
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are no valid program of the language of their extension."""
+    return invalid.invalid_files(_sources(spark, d)).select("file_id").distinct()
+
+
+@query()
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and shares of such files per repository and language."""
+    return invalid.rates(_sources(spark, d))
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "files", "file_id", "repo", "relative_path", "text"))
