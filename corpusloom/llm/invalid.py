@@ -46,7 +46,7 @@ KEYWORDS = {
     "rust": "as async await break const continue dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type unsafe use where while",
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp switch synchronized throw throws transient try void volatile while",
-    "javascript": "async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static switch throw try typeof var void while with yield",
+    "javascript": "as async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static switch throw try typeof var void while with yield",
 }
 KEYWORDS["typescript"] = KEYWORDS["javascript"] + " abstract as asserts declare enum implements infer interface is keyof namespace module override private protected public readonly satisfies type unique any"
 LITERALS = {
@@ -148,7 +148,7 @@ def lex(text: str, lang: str, lexer: re.Pattern, words: frozenset) -> tuple[list
     shapes, events, logical = [], [], []
     line: list[str] = []
     depth, number, indent, start, serial = 0, 0, 0, 0, 0
-    python = lang == "python"
+    python, levels = lang == "python", [0]
 
     def close() -> None:
         nonlocal number
@@ -171,6 +171,12 @@ def lex(text: str, lang: str, lexer: re.Pattern, words: frozenset) -> tuple[list
         if python and not line:
             lead = text[start : m.start()]
             indent = len(lead.expandtabs(8)) if not lead.strip() else indent
+            while levels[-1] > indent:
+                levels.pop()
+                if levels[-1] < indent:  # back to a level that no block has
+                    line.append(FAULT)
+            if levels[-1] < indent:
+                levels.append(indent)
         if kind == "n":
             line.append(token if token in words else "n")
         elif kind == "s":
@@ -255,6 +261,8 @@ def covered(shape: str, lang: str) -> bool:
     tokens = shape.split(" ")[1:-1]
     if lang == "javascript":
         return not _TYPED_RE.search(shape)
+    if lang == "go":
+        return " n n n " not in shape
     if lang == "python" and tokens:
         first = tokens[1] if tokens[0] == "async" and len(tokens) > 1 else tokens[0]
         if first in _PY_HEAD:
