@@ -138,7 +138,7 @@ def _lexer(lang: str) -> re.Pattern:
     life = r"'(?:[^\W\d]\w*)" if lang == "rust" else r"(?!)"
     regex = r"(?<=[=(,:;!&|?{}\[+\n] )/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*" if lang in ("javascript", "typescript") else r"(?!)"
     return re.compile(
-        rf"(?P<nl>\n)|(?P<ws>[^\S\n]+|\\\n|{comment})|(?P<s>{string})|(?P<c>{char})|(?P<r>{regex})|(?P<life>{life})|(?P<n>[^\W\d$]\w*(?:\$\w*)*|\$[\w$]*)"
+        rf"(?P<nl>\n)|(?P<ws>[^\S\n]+|\\\n|{comment})|(?P<open>{'(?!)' if lang == 'python' else '/[*]'})|(?P<s>{string})|(?P<c>{char})|(?P<r>{regex})|(?P<life>{life})|(?P<n>[^\W\d$]\w*(?:\$\w*)*|\$[\w$]*)"
         rf"|(?P<d>(?:0[xXbBoO][\w]+|(?:\d[\d_]*)?\.?\d[\d_]*(?:[eE][+-]?\d+)?\w*))|(?P<b>[()\[\]{{}}])|(?P<o>{'|'.join(map(re.escape, operators))})|(?P<bad>[\s\S])"
     )
 
