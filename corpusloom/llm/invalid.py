@@ -343,7 +343,9 @@ def suspects(files: DataFrame) -> DataFrame:
     rows = cut_lineage(rows)
     shapes = rows.filter("kind = 'shape'").select("lang", F.col("what").alias("shape")).distinct()
     classes = F.split("shape", " ")
-    pairs = shapes.select("lang", "shape", F.explode(F.transform(F.sequence(F.lit(0), F.size(classes) - 2), lambda i: F.struct(F.get(classes, i).alias("a"), F.get(classes, i + 1).alias("b")))).alias("p"))
+    last = F.size("classes") - 1
+    zipped = F.zip_with(F.slice("classes", 1, last), F.slice("classes", 2, last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = shapes.withColumn("classes", classes).select("lang", "shape", F.explode(F.array_distinct(zipped)).alias("p"))
     pairs = pairs.select("lang", "shape", "p.a", "p.b").filter("not (lang = 'json' and (a = '^' or b = '$'))")
     wrong = pairs.join(F.broadcast(pair_table(spark)), ["lang", "a", "b"], "left_anti").select("lang", "shape")
 
