@@ -1,4 +1,4 @@
-"""Command line (X1): check, status, index, search, clear, serve, watch."""
+"""Command line (X1, X12): check, status, index, search, clear, serve, watch, eval."""
 
 from __future__ import annotations
 
@@ -35,6 +35,14 @@ def main(argv: list[str] | None = None) -> int:
     watcher = sub.add_parser("watch")
     watcher.add_argument("events")
     watcher.add_argument("checkpoint")
+    judge = sub.add_parser("eval")
+    judge.add_argument("queries")
+    judge.add_argument("--sweep", metavar="KNOB=V,V", help="one report for each value of a search knob")
+    judge.add_argument("--repeat", type=int, default=1)
+    judge.add_argument("--limit", type=int, default=10)
+    judge.add_argument("--no-rerank", action="store_true")
+    judge.add_argument("--baseline")
+    judge.add_argument("--out")
     args = parser.parse_args(argv)
 
     from .engine import Engine
@@ -66,6 +74,13 @@ def main(argv: list[str] | None = None) -> int:
         from .server import Server
 
         Server(engine).run(sys.stdin, sys.stdout)
+    elif args.command == "eval":
+        from .evaluation import evaluate_set
+
+        knob, _, values = (args.sweep or "").partition("=")
+        sweep = {knob: [json.loads(v) for v in values.split(",")]} if knob else None
+        remade = lambda c: Engine(engine.spark, c, reranker=token_overlap)
+        print(json.dumps(evaluate_set(remade, config, args.queries, sweep, args.repeat, args.limit, not args.no_rerank, args.out, args.baseline), indent=2))
     elif args.command == "watch":
         from .streaming.watch import watch
 
