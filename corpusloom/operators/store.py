@@ -97,7 +97,9 @@ class Store:
         """K7: write a version and make it the current one; readers of older ones are not disturbed."""
         new = self.version + 1
         base = f"{self.path}/v={new}"
-        chunks.select(*[f.split()[0] for f in CHUNKS.split(", ")]).write.mode("overwrite").parquet(f"{base}/chunks")
+        # K8: rows in order of file and lines, so that parquet statistics find a file and its lines
+        laid = chunks.select(*[f.split()[0] for f in CHUNKS.split(", ")]).repartition("file").sortWithinPartitions("file", "start_line")
+        laid.write.mode("overwrite").parquet(f"{base}/chunks")
         written = self.spark.read.schema(CHUNKS).parquet(f"{base}/chunks")
         built = build_postings(written)
         built.terms.repartition("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{base}/terms")

@@ -479,3 +479,59 @@ def ewma_throughput(spark: SparkSession, d: str) -> DataFrame:
     """A13."""
     rows = read(spark, d, "events", "user_id", "ts", "event_id", "value").withColumn("o", F.struct("ts", "event_id"))
     return evaluate.smoothed(rows, ["user_id"], "o", "value").select("user_id", F.round("ewma", 6).alias("ewma"))
+
+
+# ---- further scalar operators and lookups
+
+
+@query(f"with {CORPUS_SQL} select chunk_id, substring(content, 1, 300) as document, substring(content, 1, 160) as message, case when length(content) > 200 then 'content' else 'snippet' end as source from c where kind is null")
+def text_caps(spark: SparkSession, d: str) -> DataFrame:
+    """what a reranker and a log see of a text."""
+    c = corpus(spark, d).filter("kind is null")
+    source = F.when(F.length("content") > 200, "content").otherwise("snippet")
+    return c.select("chunk_id", T.truncated(F.col("content"), 300).alias("document"), T.short_error(F.col("content")).alias("message"), source.alias("source"))
+
+
+@query(f"with {CORPUS_SQL}, {VECTORS_SQL}, {DENSE_SQL}, s as (select d.chunk_id, substring(c.content, 1, 200) as snippet from dense d join c using (chunk_id)) select s.chunk_id, s.snippet, coalesce(x.content, s.snippet) as content from s left join (select * from c where kind is not null) x using (chunk_id)")
+def hydrate_content(spark: SparkSession, d: str) -> DataFrame:
+    """Full content for dense hits, the snippet where the other store lacks the chunk."""
+    c = corpus(spark, d)
+    v = vectors(spark, d, c)
+    head = retrieval.dense(v, _query_vector(v), K, DIM).select("chunk_id")
+    head = retrieval.snippets(c.select("chunk_id", "content")).join(F.broadcast(head), "chunk_id", "left_semi")  # at most K rows
+    return retrieval.hydrate(head, c.filter("kind is not null")).select("chunk_id", "snippet", "content")
+
+
+SYMBOL = "PruneCache"
+_NAMED_SQL = rf"(lower('{SYMBOL}') = lower(name)) or ((contains(name, '::') or contains(name, '.')) and lower('{SYMBOL}') = lower(regexp_extract(regexp_extract(name, '(?s)(?:.*::)?(.*)', 1), '(?s)(?:.*\.)?(.*)', 1)))"
+
+
+@query(f"with {CORPUS_SQL}, {_bm25_sql([['prune', 'cache']])}, r as (select c.*, coalesce(1.0 / (60 + sparse_rank + 1), 0) + case when coalesce({_NAMED_SQL}, false) then 1.0 / 61 else 0 end as rrf from sparse join c using (chunk_id)) select chunk_id, round(rrf, 9) as score from r order by round(rrf, 9) desc, chunk_id limit 10")
+def symbol_boost(spark: SparkSession, d: str) -> DataFrame:
+    """A symbol's exact name outweighs a first place."""
+    c = corpus(spark, d)
+    sparse = retrieval.bm25(retrieval.build_postings(c), SYMBOL, K)
+    dense = spark.createDataFrame([], "chunk_id string, dense_score double, dense_rank int")
+    merged = retrieval.merge(c, dense, sparse, SYMBOL)
+    return retrieval.head_and_tail(merged, None, retrieval.SearchSettings(), 10).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"with {QRELS_SQL}, g as (select search_id, arg_min(name, rank) as name, count(*) as n from r where name is not null group by search_id), y as (select search_id, name, regexp_extract(name, '(?s)(?:.*::)?(.*)', 1) as symbol from g) select round(avg(coalesce((name = symbol or suffix(name, '::' || symbol) or suffix(name, '.' || symbol))::int, 0)), 4) as symbol_hit_rate from y")
+def eval_symbol_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A6."""
+    hits = read(spark, d, "search_results", "search_id", "result_id", "name", "score").groupBy("search_id", "result_id").agg(F.any_value("name").alias("name"), F.max(F.coalesce(F.col("score").cast("double"), F.lit(-1e30))).alias("score"))
+    first = hits.filter("name is not null").groupBy("search_id").agg(F.min_by("name", F.struct(-F.col("score"), "result_id")).alias("name"))
+    return evaluate.symbol_hit_rate(first.withColumn("symbol", F.regexp_extract("name", "(?s)(?:.*::)?(.*)", 1)))
+
+
+@query("with s as (select event_type as metric, median(value) as after from events where event_id % 2 = 0 group by event_type), b as (select event_type as metric, median(value) as before, min(value) as low, max(value) as high from events where event_id % 2 = 1 group by event_type) select metric, before, after, after - before as delta, after between low and high as within_spread from s join b using (metric)")
+def eval_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """One half of the events stands for a new run, the other for its baseline."""
+    rows = read(spark, d, "events", "event_id", "event_type", "value").withColumnRenamed("event_type", "metric")
+    return evaluate.against_baseline(evaluate.spread(rows.filter("event_id % 2 = 0")), evaluate.spread(rows.filter("event_id % 2 = 1")))
+
+
+@query("select distinct user_id, event_type from events")
+def event_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """U4."""
+    return read(spark, d, "events", "user_id", "event_type").dropDuplicates()
