@@ -63,12 +63,9 @@ LEAD = {
 LITERAL = r"""(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*[,;\]})]\s*|b?"(?:[^"\\\n]|\\.)*+"\s*[,;\]})]\s*|"[A-Za-z0-9+/=]{40,}"\s*|'(?:[^'\\\n]|\\.)*+'\s*[,;\]})]\s*"""
 _LINE_MARK = r"(?m)^[ \t]*(?:/{2,}!?|/\*+!?|\*+/?|#+!?)[ \t]?|\*/[ \t]*\r?$|\r$"
 
-_TOKEN = re.compile(
-    r"/\*[\s\S]*?\*/|(?P<word>[^\W\d]\w*)|(?P<num>\d[\w.]*)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]"
-)
-_TOKEN_HASH = re.compile(
-    r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|#[^\n]*|(?P<word>[^\W\d]\w*)|(?P<num>\d[\w.]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]"
-)
+# Comments match without a group, so that findall() gives '' for them and the token for the rest.
+_TOKEN = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*|([^\W\d]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w])")
+_TOKEN_HASH = re.compile(r"#[^\n]*|(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|[^\W\d]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w])")
 
 
 def path_reason(path: Column) -> Column:
@@ -120,21 +117,20 @@ def fingerprints(tokens: list[int], run: int, window: int) -> np.ndarray:
     return np.unique(view.min(axis=1)).view(np.int64)
 
 
-def _token_hashes(text: str, lang: str, cache: dict[str, int]) -> list[int]:
-    import xxhash
+class _Hashes(dict):
+    """Token -> 64-bit hash, remembered for the first 2^18 tokens."""
+
+    def __missing__(self, token: str) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(token)
+        if len(self) < 1 << 18:
+            self[token] = h
+        return h
+
 
-    out = []
-    for m in (_TOKEN_HASH if lang == "python" else _TOKEN).finditer(text):
-        t = m.group()
-        if m.lastgroup is None and (t.startswith(("#", "//", "/*")) and len(t) > 1):
-            continue
-        h = cache.get(t)
-        if h is None:
-            h = xxhash.xxh64_intdigest(t)
-            if len(cache) < 1 << 18:
-                cache[t] = h
-        out.append(h)
-    return out
+def _token_hashes(text: str, lang: str, hashes: _Hashes) -> list[int]:
+    return [hashes[t] for t in (_TOKEN_HASH if lang == "python" else _TOKEN).findall(text) if t]
 
 
 def copied(files: DataFrame, run: int = RUN, window: int = WINDOW, min_repos: int = MIN_REPOS, share: float = SHARE) -> DataFrame:
@@ -142,7 +138,7 @@ def copied(files: DataFrame, run: int = RUN, window: int = WINDOW, min_repos: in
     kind = files.schema["key"].dataType.simpleString()
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache = _Hashes()
         for batch in batches:
             marks = [fingerprints(_token_hashes(t, lang, cache), run, window) for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
             offsets = np.r_[0, np.cumsum([len(m) for m in marks])].astype(np.int32)
