@@ -239,12 +239,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()
 
 
-@query()
+@query("""
+with v as (select item_id, min(embedding::double[]) as e from embed_items where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_max(list_transform(embedding, lambda x: abs(x))) > 0 group by item_id),
+p as (select a.item_id as item, b.item_id as other, list_cosine_similarity(a.e, b.e) as s from v a join v b on a.item_id <> b.item_id where a.item_id % 50 = 0),
+t as (select *, row_number() over (partition by item order by round(s, 9) desc, other) as place from p)
+select item, other, round(s, 6) as similarity, place::int as place from t where place <= 5""")
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar items of every item whose id is divisible by 50, against all items."""
     items = read(spark, d, "embed_items", "item_id", "embedding")
     asked = items.filter(F.col("item_id") % 50 == 0).select("item_id")
-    return neighbours.most_similar(items, "item_id", "embedding", 5, 64, queries=asked)
+    return neighbours.most_similar(items, "item_id", "embedding", 5, 64, queries=asked).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()

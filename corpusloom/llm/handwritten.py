@@ -18,8 +18,8 @@ Files of other languages (json, toml, yaml, shell, markdown) never count. Null o
 empty texts are judged by path alone; a null path gives language and path no say. A
 null repository counts as one of its own. Repeated rows of a file count once for
 each (file_id, text). Only the named columns are read. A fingerprint that a third of
-all files share is pre-aggregated per task and salted by file, as each file brings
-one row per fingerprint.
+all files share is combined within each task before it is counted, and salted by file
+where files are joined with the common fingerprints.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from ..functions.words import extension
 
 CODE = {"py": "python", "rs": "rust", "go": "go", "ts": "typescript", "js": "javascript", "java": "java"}
 RUN, WINDOW, MIN_REPOS, SHARE = 8, 24, 8, 0.8
+SALTS = 16
 
 VENDOR_DIR = r"(?:^|/)(?:vendor|vendored|third_party|third-party|thirdparty|external|externals|node_modules|bower_components|site-packages|deps|Godeps|Pods)/"
 VENDOR_TREE = r"(?:^|/)contrib/[\w.-]+-\d+(?:\.[\dx]+)*/"
@@ -149,7 +150,9 @@ def copied(files: DataFrame, run: int = RUN, window: int = WINDOW, min_repos: in
     rows = marks.select("key", "repo", F.size("marks").alias("n"), F.explode("marks").alias("mark"))
     # distinct (mark, repo) is combined before the shuffle; only marks of enough repositories go on
     common = rows.select("mark", "repo").distinct().groupBy("mark").count().filter(F.col("count") >= min_repos).select("mark")
-    return rows.join(common, "mark", "left_semi").groupBy("key").agg((F.count("*") / F.max("n")).alias("s")).filter(F.col("s") >= share).select("key")
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(common, ["mark", "salt"], "left_semi").groupBy("key").agg((F.count("*") / F.max("n")).alias("s")).filter(F.col("s") >= share).select("key")
 
 
 def judge(files: DataFrame, **knobs) -> DataFrame:

@@ -77,6 +77,7 @@ POSTFIX = {"python": "...", "rust": "? ! > >> .. ' .. *", "go": "++ -- ... *", "
 OPERANDS = "n 0 s c".split()
 OPEN, CLOSE = "( [ {".split(), ") ] }".split()
 FAULT = "E"
+SALTS = 16
 
 
 def permissible_pairs(lang: str) -> set[tuple[str, str]]:
@@ -354,7 +355,10 @@ def suspects(files: DataFrame) -> DataFrame:
             yield pdf[[not covered(s, x) for s, x in zip(pdf["shape"], pdf["lang"])]]
 
     wrong = wrong.unionByName(shapes.mapInPandas(produce, "lang string, shape string")).distinct()
-    by_shape = rows.filter("kind = 'shape'").join(wrong.withColumnRenamed("shape", "what"), ["lang", "what"], "left_semi").select("file_id", "lang")
+    # a shape that a third of all files share would meet in one task: salted on one side, repeated on the other
+    salted = wrong.select("lang", F.col("shape").alias("what"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = rows.filter("kind = 'shape'").withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))
+    by_shape = held.join(salted, ["lang", "what", "salt"], "left_semi").select("file_id", "lang")
 
     order = Window.partitionBy("row_id").orderBy("n")
     bracket = rows.filter("kind = 'bracket'")

@@ -118,6 +118,7 @@ def most_similar(
         second = own.select("c", "q", "s", "e", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("first"))
         tiles, n_tiles = first.unionByName(second), blocks * across
     self_join = queries is None
+    wanted_k = k if self_join else k + 1  # a query meets itself among the rows
 
     def multiply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # at most two blocks
@@ -130,7 +131,7 @@ def most_similar(
         found_a, found_b = [], []
         for x, y in ((a, b), (b, a))[: 2 if self_join and not diagonal else 1]:
             if len(x) and len(y):
-                i, j = survivors((q[x], s[x], e[x]), (q[y], s[y], e[y]), k, min_similarity, diagonal)
+                i, j = survivors((q[x], s[x], e[x]), (q[y], s[y], e[y]), wanted_k, min_similarity, diagonal)
                 found_a.append(c[x[i]])
                 found_b.append(c[y[j]])
         ca = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)

@@ -52,6 +52,15 @@ def test_equal_to_brute_force(spark):
     assert neighbours.most_similar(df.limit(0), "i", "e", 5, 8).count() == 0
 
 
+def test_a_query_does_not_take_a_place_of_its_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = lists(neighbours.most_similar(df, "i", "e", 5, 64, block=100, queries=df.filter("i % 3 = 0").select("i")))
+    want = brute(rows, 5, dim=64)
+    assert got == {i: v for i, v in want.items() if i % 3 == 0}
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 64))
