@@ -200,7 +200,7 @@ def _scan(text: str, lang: str) -> list[Item]:
                 i += 1
                 if depth == 0:
                     break
-            inner_end, b, e = _end_of_item(code, i, end if body else len(code))
+            inner_end = _end_of_item(code, i, end if body else len(code))[0]
             for pattern, k2, _ in rules[2:]:
                 m2 = pattern.match(code, re.compile(r"\s*").match(code, i).end(), inner_end)
                 if m2:
