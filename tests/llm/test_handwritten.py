@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from corpusloom.llm import handwritten
 
 SCHEMA = "file_id long, repo string, relative_path string, text string"
