@@ -7,6 +7,8 @@ words are distinct. An isolation forest over these statistics scores how soon
 random splits isolate a document. The forest is fitted on at most ``sample``
 documents and its threshold is calibrated on the same rows, labelled by their
 repeated share: every labelled row of at least half the wanted share must pass. The
+threshold is never set above the least score that the forest's trees can give to any
+row of the wanted share, whatever its other statistics, so no such row is lost. The
 rows that pass are suspects, of which the exact share decides.
 
 Null texts have no words and share 0, as have empty ones and those of fewer words
@@ -144,6 +146,23 @@ def anomaly(forest: list[tuple[np.ndarray, ...]], x: np.ndarray, leaf_sample: in
     return 2.0 ** (-total / len(forest) / max(path_constant(leaf_sample), 1e-9))
 
 
+def least_score(forest: list[tuple[np.ndarray, ...]], feature: int, value: float, leaf_sample: int = LEAF_SAMPLE) -> float:
+    """A bound that no row with ``feature`` at or above ``value`` scores below: the longest path open to it in every tree."""
+    total = 0.0
+    for features, split, left, right, length in forest:
+        longest, open_ = 0.0, [0]
+        while open_:
+            n = open_.pop()
+            if features[n] < 0:
+                longest = max(longest, length[n])
+            elif features[n] == feature and split[n] < value:
+                open_.append(right[n])
+            else:
+                open_ += [left[n], right[n]]
+        total += longest
+    return float(2.0 ** (-total / len(forest) / max(path_constant(leaf_sample), 1e-9)))
+
+
 def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = 0.3, run: int = RUN, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_words, the statistics, score, suspect) of every row of ``documents``."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -165,7 +184,7 @@ def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         forest = grow_forest(x)
         labelled = x[:, 0] >= share / 2
         if labelled.any():
-            threshold = float(anomaly(forest, x[labelled], size).min()) - 1e-12
+            threshold = min(float(anomaly(forest, x[labelled], size).min()), least_score(forest, 0, share - 1e-12, size)) - 1e-9
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in statistics(batches):

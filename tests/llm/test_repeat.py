@@ -47,3 +47,14 @@ def test_forest_isolates_outliers():
     x = np.vstack([np.random.default_rng(0).normal(0, 0.01, (500, 3)), [[1, 1, 1]]])
     score = repeat.anomaly(repeat.grow_forest(x), x)
     assert score[-1] > score[:-1].max()
+
+
+def test_no_row_of_the_wanted_share_scores_below_the_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(0, 0.1, (600, 5)))
+    forest = repeat.grow_forest(x)
+    rows = rng.uniform(0, 1, (3000, 5))
+    rows[:, 0] = rng.uniform(0.3, 1, 3000)
+    assert repeat.anomaly(forest, rows).min() >= repeat.least_score(forest, 0, 0.3)
