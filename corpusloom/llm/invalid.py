@@ -10,9 +10,14 @@ order depends on. Three checks flag a file:
   the pairs of all distinct shapes are anti-joined with them;
 * brackets that do not nest: at each depth, windows must see every opening bracket
   followed by the closing one of its kind;
-* lines that no statement production covers: block headers without a body, clauses
-  without the statement they belong to (windows over lines of equal indent), type
-  annotations in JavaScript, JSON and TOML values that do not reduce.
+* lines and statements that no production covers: block headers without a body, clauses
+  without the statement they belong to (windows over lines of equal indent, or over the
+  statements of a block), classes that do not go on across a line end, statements that
+  a line end, a closing brace or the end of the file leaves without their terminator
+  (Rust, Go, Java), statements that may not stand at top level (Rust, Go, Java), type
+  annotations in JavaScript, JSON and TOML values that do not reduce. JavaScript and
+  TypeScript end statements at line ends by themselves, so there only brackets are
+  followed across them.
 
 Python, JSON and TOML flags are then confirmed by the parser in the standard library;
 for the other languages the checks stand for themselves, and may miss an error that
@@ -277,6 +282,209 @@ def covered(shape: str, lang: str) -> bool:
     return True
 
 
+# How statements of the brace languages begin, end and go on.
+_CALLED = {"n", "this", "super"}
+_VALUE = {"=", "+=", "-=", "*=", "/=", ":="}
+_FULL = {"n", "0", "s", "c", ")", "]", "true", "false", "null", "this", "self", "nil", "?"}
+_GO_ENDS = {"n", "0", "s", "c", ")", "]", "}", "++", "--", "true", "false", "nil", "iota", "break", "continue", "return", "fallthrough"}
+_STARTS = {
+    "java": set(f"{' '.join(OPERANDS)} {LITERALS['java']} {KEYWORDS['java']}".split()) - set("throws implements instanceof default extends".split()),
+    "rust": set("let return if while loop match fn pub use struct enum impl trait mod const static unsafe break continue for type".split()),
+}
+_TOP = {
+    "java": set("if else for while do switch case default try catch finally return throw break continue new this super 0 s c".split()),
+    "rust": set("let if else for while loop match return break continue move ref mut where in as self 0 s c ( [ { . = => -> + - * / & | , ?".split()),
+}
+_CLOSED = set("let use mod static const type return".split())
+_LONE = ({"if", "(", ")"}, {"else"}, {"for", "(", ")"})
+
+
+class _Frame:
+    """An open bracket: what it holds, the statement begun in it, the number of the block and of its statements."""
+
+    __slots__ = ("kind", "ends", "seg", "block", "place", "ifs", "called")
+
+    def __init__(self, kind: str, ends: bool, block: int):
+        self.kind, self.ends, self.block = kind, ends, block
+        self.seg, self.place, self.ifs, self.called = [], 0, 0, False
+
+
+def statements(shapes: list[str], lang: str) -> tuple[set[str], list[tuple[int, int, str]], bool]:
+    """(pairs of classes across line ends that end no statement, clauses (block, place in it, keyword), whether a production is missing).
+
+    Brackets must nest, else nesting tells; what a macro of Rust holds is not judged.
+    """
+    joins: set[str] = set()
+    clauses: list[tuple[int, int, str]] = []
+    bad = False
+    blocks = 0
+    script = lang in ("javascript", "typescript")
+    starts, top = _STARTS.get(lang, set()), _TOP.get(lang, set())
+    stack = [_Frame("top", True, 0)]
+    calls: list[str] = []
+    first_go = True
+
+    def close(f: _Frame) -> None:
+        nonlocal bad, first_go
+        seg = f.seg
+        if not seg:
+            return
+        head = seg[0]
+        if f.kind in ("top", "block", "switch"):
+            ifs = seg.count("if")
+            if head == "else":
+                clauses.append((f.block, f.place, "elif" if f.ifs > 1 or ifs else "else"))
+                f.ifs += ifs - 1
+            else:
+                f.ifs = ifs
+                if head in ("catch", "finally") and lang != "rust" and lang != "go":
+                    clauses.append((f.block, f.place, head))
+                elif "try" in seg and lang not in ("rust", "go"):
+                    after = seg[seg.index("try") + 1 :]
+                    # resources need no clause; in a script without semicolons the clause may be in the same run
+                    clauses.append((f.block, f.place, "with" if after[:1] == ["("] or "catch" in after or "finally" in after else "try"))
+                elif ifs:
+                    clauses.append((f.block, f.place, "if"))
+            if head in ("case", "default") and seg[1:2] != ["void"] and f.kind != "switch" and lang != "rust" and (head == "case" or ":" in seg[1:2]):
+                bad = True
+        if f.kind == "top":
+            if lang == "go":
+                bad |= head not in ({"package"} if first_go else {"import", "func", "var", "const", "type"})
+                first_go = False
+            elif head in top and not (head == "default" and len(seg) > 2):
+                bad = True
+            elif lang == "rust" and head == "n" and "!" not in seg[:3] and seg[1:2] not in (["n"], ["::"], ["trait"]):
+                bad = True
+            elif lang == "java" and head == "n" and seg[1:2] in (["("], ["="], ["."]) and seg[-1] != "}" and not (seg[1] == "." and "n n" in " ".join(seg)):
+                bad = True
+        if lang == "go" and f.kind == "block":
+            bad |= head == "else" or seg.count("else") - sum(pair == ("else", "if") for pair in zip(seg, seg[1:])) > 1
+            bad |= head in ("if", "for", "switch", "select") and "{" not in seg or seg[:2] == ["n", "n"] or head == "package" or head == "import"
+        f.place += 1
+        seg.clear()
+
+    for shape in shapes:
+        line = shape.split(" ")[1:-1]
+        for k, t in enumerate(line):
+            f = stack[-1]
+            seg = f.seg
+            if not k and seg:  # across a line end
+                a = seg[-1]
+                if lang == "go":
+                    if a in _GO_ENDS:
+                        if f.kind in ("paren", "value"):
+                            bad = True
+                        elif f.kind != "loose":
+                            close(f)
+                elif f.kind == "macro":
+                    pass
+                elif seg[0] == "#" and a == "]" and len(seg) < 5 and lang == "rust":
+                    seg.clear()
+                elif seg[0] == "@":
+                    if seg[1:2] == ["n"] and not {*seg} - {"@", "n", ".", "(", ")"}:
+                        seg.clear()
+                elif script:
+                    if f.kind == "paren" and "@" not in seg and a not in ("}", ";", ",", "{") and t not in ("}", ";", ",", "{"):
+                        joins.add(f"{a} {t}")
+                elif a == "}":
+                    bad |= f.kind in ("top", "block") and (t in starts or t in ("n", "0", "s"))
+                elif a not in (";", ",", "{"):
+                    if t not in ("}", ";", ",", "{"):
+                        joins.add(f"{a} {t}")
+                    if lang == "rust":
+                        own = f.kind in ("top", "block") and a in _FULL and t in starts and not (t == "for" and "impl" in seg)
+                        bad |= own and seg[0] not in ("pub", "extern", "unsafe", "const", "async")
+                    elif f.kind in ("top", "block", "switch", "members") and (t in starts or t == "default" and a in ("break", "continue")):
+                        full = a in _FULL and (a != ")" or f.called)
+                        told = not _VALUE.isdisjoint(seg) or seg[0] in ("return", "throw", "break", "continue", "import", "package")
+                        bad |= a == ")" and f.called or full and told or a in ("break", "continue") or a == "*" and seg[0] == "import"
+                        bad |= a in ("++", "--") and len(seg) > 1 and seg[-2] in _FULL
+                        bad |= a == "n" and seg[-2:-1] in (["n"], [">"], ["]"], ["int"], ["long"], ["double"], ["boolean"]) and {"class", "interface"}.isdisjoint(seg)
+            if t in "([{":
+                before = seg[-1] if seg else ""
+                if f.kind == "macro" or lang == "rust" and (before == "!" or before == "n" and seg[-2:-1] == ["!"]):
+                    kind, ends = "macro", t == "{"
+                elif t != "{":
+                    kind, ends = ("block" if lang == "go" and before in ("import", "const", "var", "type") else "paren"), False
+                    if lang == "go" and kind == "block":
+                        kind = "members"
+                elif lang == "go":
+                    if before in ("struct", "interface"):
+                        kind = "members"
+                    elif before == ")" or not {"if", "for", "switch", "select", "func", "struct", "interface"}.isdisjoint(seg):
+                        kind = "switch" if not {"switch", "select"}.isdisjoint(seg) else "block" if before in (")", "else", "for", "n", "nil", "true", "0") and "func" in seg and "range" not in seg else "loose"
+                        if kind == "loose" and not {"if", "for", "else"}.isdisjoint(seg):
+                            kind = "inner"
+                    elif not seg or before in ("else", ";"):
+                        kind = "inner"
+                    else:
+                        kind = "value" if not _VALUE.isdisjoint(seg) or seg[0] == "return" or f.kind in ("paren", "value") else "loose"
+                    ends = False
+                else:
+                    told = not _VALUE.isdisjoint(seg) or seg[:1] in (["return"], ["throw"], ["new"], ["let"], ["const"], ["var"]) and seg[0] != "const" or f.kind in ("paren", "value")
+                    if lang == "rust":
+                        told = bool(seg) and (seg[0] == "let" or f.kind == "paren") or "use" in seg
+                        last = next((w for w in reversed(seg) if w in ("match", "struct", "enum", "union", "if", "fn", "impl", "use")), "")
+                        kind = {"match": "switch", "struct": "members", "enum": "members", "use": "members"}.get(last, "members" if before == "n" and f.kind == "paren" else "block")
+                        if before in ("n", ">") and last in ("", "fn") and "fn" not in seg and not {"for", "while", "mod", "trait", "unsafe", "loop"} & {*seg}:
+                            kind = "members"
+                    elif f.kind == "value" and before in ("", ","):
+                        kind = "value"
+                    elif "switch" in seg:
+                        kind = "switch"
+                    elif not {"class", "implements", "interface", "enum", "namespace", "module", "type"}.isdisjoint(seg) or "@" in seg and "interface" in seg:
+                        kind = "enum" if "enum" in seg else "members"
+                    elif before in (")", "=>", "->", "else", "try", "finally", "do", "catch", "static", "") or before == ":" and f.kind == "switch":
+                        kind = "members" if "new" in seg and before == ")" else "block"
+                    elif lang == "java" and before == "n" and "throws" in seg or lang == "typescript" and f.kind in ("members", "top") and before in ("n", ">", "]", "any", "}") and not told:
+                        kind = "block"
+                    else:
+                        kind, told = "value", told or before in ("=", "(", "[", ",", ":", "?", "]")
+                    ends = not told and kind != "value" and (before != "=>" or not seg)
+                calls.append(before)
+                seg.append(t)
+                blocks += 1
+                stack.append(_Frame(kind, ends, blocks))
+            elif t in ")]}":
+                if len(stack) == 1:
+                    return set(), [], False
+                if seg and f.kind in ("block", "switch", "members") and t == "}":
+                    if lang == "java":
+                        bad |= seg[-1] not in (":", "}") or not _VALUE.isdisjoint(seg)
+                    elif lang == "rust" and f.kind == "block":
+                        bad |= seg[0] in _CLOSED - {"return", "const", "type"}
+                    elif script and f.kind == "block":
+                        bad |= {*seg} in _LONE and seg[-1] in (")", "else") and seg.count("(") < 2
+                close(f)
+                stack.pop()
+                before = calls.pop()
+                up = stack[-1]
+                up.seg.append(t)
+                up.called = t == ")" and before in _CALLED
+                if t == "}" and lang != "go" and (f.ends or lang == "rust" and up.kind in ("switch", "members")):
+                    close(up)
+            elif t == ";" or t == "," and (f.kind == "paren" or lang == "rust" and f.kind in ("members", "switch")):
+                if f.kind != "macro":
+                    if t == ";" and not seg and f.ifs and f.kind == "block" and lang == "java":
+                        f.ifs = 0
+                        f.place += 1
+                    if lang == "go" and f.kind not in ("paren", "value") and not {"if", "for", "switch"}.isdisjoint(seg):
+                        seg.append(t)
+                    else:
+                        close(f)
+                else:
+                    seg.clear()
+            else:
+                seg.append(t)
+    f = stack[0]
+    if len(stack) > 1:
+        return set(), [], False
+    if f.seg:
+        bad |= lang == "java" or lang == "rust" and (f.seg[0] in _CLOSED or f.seg[0] == "pub" and not _CLOSED.isdisjoint(f.seg[:5])) or script and {*f.seg} in _LONE
+        close(f)
+    return joins, clauses, bad
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Files -> rows (row_id, file_id, lang, kind, n, level, what, flag)."""
     from pyspark import TaskContext
@@ -304,6 +512,12 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out += [(row_id, file_id, lang, "shape", 0, 0, s, False) for s in set(shapes)]
             if lang == "python":
                 out += [(row_id, file_id, lang, "line", n, indent, first if first in _PY_HEAD else "", colon) for n, indent, first, colon in logical]
+            else:
+                joins, clauses, bad = statements(shapes, lang)
+                out += [(row_id, file_id, lang, "shape", 0, 0, s, False) for s in joins.difference(shapes)]
+                out += [(row_id, file_id, lang, "clause", place, block, what, False) for block, place, what in clauses]
+                if bad:
+                    out.append((row_id, file_id, lang, "flag", 0, 0, "statement", False))
             out += [(row_id, file_id, lang, "bracket", n, 0, b, False) for n, b in events]
         yield pd.DataFrame(out, columns=["row_id", "file_id", "lang", "kind", "n", "level", "what", "flag"])
 
@@ -383,8 +597,16 @@ def suspects(files: DataFrame) -> DataFrame:
     for k, lead in clause.items():
         lost = lost | ((F.col("what") == k) & ~F.coalesce(F.col("leads").isin(lead), F.lit(False)))
     by_line = line.filter(empty | deeper | loose | lost).select("file_id", "lang")
+    block = Window.partitionBy("row_id", "level").orderBy("n")
+    near = rows.filter("kind = 'clause'").select(
+        "file_id", "lang", "what", F.when(F.lag("n").over(block) == F.col("n") - 1, F.lag("what").over(block)).alias("leads"), F.when(F.lead("n").over(block) == F.col("n") + 1, F.lead("what").over(block)).alias("follows")
+    )
+    orphan = (F.col("what") == "try") & ~F.coalesce(F.col("follows").isin("catch", "finally"), F.lit(False))
+    for k, lead in {"else": ["if", "elif"], "elif": ["if", "elif"], "catch": ["try", "with", "catch"], "finally": ["try", "with", "catch"]}.items():
+        orphan = orphan | ((F.col("what") == k) & ~F.coalesce(F.col("leads").isin(lead), F.lit(False)))
+    by_clause = near.filter(orphan).select("file_id", "lang")
     told = rows.filter("kind = 'flag'").select("file_id", "lang")
-    return by_shape.unionByName(by_nesting).unionByName(by_line).unionByName(told).distinct()
+    return by_shape.unionByName(by_nesting).unionByName(by_line).unionByName(by_clause).unionByName(told).distinct()
 
 
 def with_language(files: DataFrame) -> DataFrame:

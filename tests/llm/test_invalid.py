@@ -39,3 +39,36 @@ def test_very_long_file(spark):
     text = "def f():\n" + "    x = g(1, [2, 3])\n" * 30_000
     df = spark.createDataFrame([(1, "r", "a.py", text), (2, "r", "b.py", text + "    y = (")], SCHEMA)
     assert [r.file_id for r in invalid.invalid_files(df).collect()] == [2]
+
+
+STATEMENTS = {
+    "a.java": ["import a.b;", "class A {", "  int x = 1;", "  void f() {", "    if (x) {", "      g();", "    } else {", "      h();", "    }", "    try {", "      g();", "    } catch (E e) {", "      h();", "    }", "    int y = 2;", "    return;", "  }", "}"],
+    "a.rs": ["use a::b;", "struct S {", "    x: u8,", "    y: u8", "}", "fn f() {", "    if x {", "        g();", "    } else {", "        h();", "    }", "    let y = 2;", "    h();", "    k()", "}"],
+    "a.go": ["package a", "func f() {", "\tif x {", "\t\tg()", "\t} else {", "\t\th()", "\t}", "\ty := []int{", "\t\t1,", "\t}", "}"],
+    "a.ts": ["function f(a: string,", "  b: number) {", "  if (a) {", "    g();", "  } else {", "    h()", "  }", "  try {", "    g();", "  } catch (e) {", "    h();", "  }", "}"],
+    "a.js": ["function f(a,", "  b) {", "  if (a) {", "    g();", "  } else {", "    h()", "  }", "  try {", "    g();", "  } catch (e) {", "    h();", "  }", "}"],
+}
+#: (file, line, what it becomes): pairs within lines and nesting stay as they were.
+BROKEN = [
+    ("a.java", 0, "import a.b"), ("a.java", 2, "  int x = 1"), ("a.java", 5, "      g()"), ("a.java", 14, "    int y = 2"), ("a.java", 15, "    return"), ("a.java", 4, "    while (x) {"), ("a.java", 11, "    } while (e) {"), ("a.java", 9, "    {"), ("a.java", 17, "} f();"),
+    ("a.rs", 0, "use a::b"), ("a.rs", 2, "    x: u8"), ("a.rs", 6, "    while x {"), ("a.rs", 11, "    let y = 2"), ("a.rs", 12, "    h()"), ("a.rs", 14, "} let x = 1;"),
+    ("a.go", 4, "\t}\n\telse {"), ("a.go", 4, "\t} else {\n\t} else {"), ("a.go", 8, "\t\t1"), ("a.go", 2, "\tif x\n\t{"), ("a.go", 10, "}\nf()"), ("a.go", 0, ""),
+    ("a.ts", 0, "function f(a: string"), ("a.ts", 2, "  while (a) {"), ("a.ts", 9, "  } while (e) {"), ("a.ts", 7, "  {"),
+    ("a.js", 0, "function f(a"), ("a.js", 2, "  while (a) {"), ("a.js", 9, "  } while (e) {"), ("a.js", 7, "  {"),
+]
+#: Valid texts that come near to the productions.
+NEAR = {
+    "n.java": "class A {\n  int[][] a = {{1}, {2}};\n  enum B { C(1), D(2) { void f() { } }; B(int x) { } }\n  A(int x)\n      throws E {\n    if (x) if (y) f(); else g(); else h();\n    do { f(); } while (x);\n    Runnable r = new Runnable() {\n      public void run() { f(); }\n    };\n    String s = (String)\n        y;\n    for (int i : a)\n      f();\n    try (R q = f()) { g(); }\n    return a\n        .b();\n  }\n}\n",
+    "n.rs": "fn f() -> u8 {\n    let x = if a { 1 } else { 2 };\n    let Some(y) = z else { return 1; };\n    match x {\n        1 => foo(),\n        2 if y\n            && z => { bar() }\n        _ => 3,\n    };\n    if x { return 1 }\n    let v = a\n        .b()?;\n    v\n}\n",
+    "n.go": "package a\n\nvar (\n\ta = 1\n\tb = 2\n)\n\nfunc f() {\n\tx := []struct {\n\t\ta int\n\t}{\n\t\t{1},\n\t}\n\tdefer func() {\n\t\tg()\n\t}()\n\tif a {\n\t\tg()\n\t} else if b {\n\t\th()\n\t} else {\n\t\tk()\n\t}\n}\n",
+    "n.js": "const x = { catch: 1, f() { return 1 } }\np.then(q).catch((e) => {\n  r(e)\n})\n  .finally(() => { })\nif (a) x = { y: 1 }; else z()\nif (a) b(); else if (c) d(); else e();\n",
+    "n.ts": "abstract class A {\n  catch(e) { return e }\n  async f(): Promise<{ a: B }> {\n    try {\n      await g()\n    } finally { h() }\n  }\n}\n",
+}
+
+
+def test_statements_of_brace_languages(spark):
+    broken = [(p, "\n".join([*STATEMENTS[p][:k], line, *STATEMENTS[p][k + 1 :]])) for p, k, line in BROKEN]
+    good = [*((p, "\n".join(x) + "\n") for p, x in STATEMENTS.items()), *NEAR.items()]
+    df = spark.createDataFrame([(i, "r", p, t) for i, (p, t) in enumerate([*good, *broken])], SCHEMA)
+    got = {r.file_id for r in invalid.invalid_files(df).collect()}
+    assert got == set(range(len(good), len(good) + len(broken)))
