@@ -224,8 +224,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-def _mix(spark: SparkSession, d: str):
-    return mix.mix(spread(read(spark, d, "documents", "doc_id", "text", "lang", "source")), read(spark, d, "mix_targets"))
+@query()
+def p9_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share in the largest mixture in which no source reaches its cap."""
+    return _mix(spark, d, None)[1]
+
+
+def _mix(spark: SparkSession, d: str, total: str | None = mix.ALL_TOKENS):
+    return mix.mix(spread(read(spark, d, "documents", "doc_id", "text", "lang", "source", "doc_type")), read(spark, d, "mix_targets"), total=total, domain="doc_type")
 
 
 @query("""

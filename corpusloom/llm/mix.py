@@ -9,7 +9,9 @@ children only when all siblings are full. Each leaf then takes whole epochs of i
 documents and, of one further epoch in seeded order, the prefix that fits.
 
 ``total`` is the wanted size; by default it is the largest at which no source hits its
-cap, so targets are met up to one document per leaf. Targets without documents and
+cap, so targets are met up to one document per leaf; with ``ALL_TOKENS`` it is what the
+sources with a target hold, so that small ones repeat up to their caps and what they
+cannot give is taken by others. Targets without documents and
 documents without a target are left out; null sources have no target, null languages
 form a language of their own. Null or empty texts have no tokens and are never used.
 Repeated rows of one id count once. A document is used at most ``max_repeats`` times.
@@ -33,6 +35,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 4096
 MAX_LEAVES = 100_000
+ALL_TOKENS = "all tokens"
 
 
 def with_tokens(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
@@ -86,7 +89,7 @@ def budgets(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tupl
     return {(c, *path): b for c, share in zip(names, shares) for path, b in budgets(children[c], share).items()}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 0, tokenizer: str = TOKENIZER, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares): ``mixture`` has (doc_id, source, lang, tokens, repeats) of every document used;
     ``shares`` has (source, target_share, tokens, share) of every target, 0 where it has no documents."""
     goal = targets.filter("source is not null and target_share > 0").dropDuplicates(["source"]).limit(MAX_LEAVES + 1).collect()
@@ -106,7 +109,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
         of_source[r["source"]] = of_source.get(r["source"], 0) + r["t"]
     aim = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in goal}
     present = sum(aim[s][0] for s in of_source) or 1.0
-    size = total if total is not None else min((of_source[s] * aim[s][1] * present / aim[s][0] for s in of_source), default=0)
+    size = sum(of_source.values()) if total == ALL_TOKENS else total if total is not None else min((of_source[s] * aim[s][1] * present / aim[s][0] for s in of_source), default=0)
     leaves = {(r["domain"], r["lang"], r["source"]): (aim[r["source"]][0] * r["t"] / of_source[r["source"]], float(r["t"] * aim[r["source"]][1])) for r in sums}
     have = {(r["domain"], r["lang"], r["source"]): r["t"] for r in sums}
     plan = []

@@ -2,7 +2,7 @@ import base64
 
 import pytest
 
-from corpusloom.llm import mix
+from corpusloom.llm import catalog, mix
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,24 @@ def test_given_total_and_empty_tables(spark, tokenizer):
     used, shares = mix.mix(docs.limit(0), targets, tokenizer=tokenizer)
     assert used.count() == 0 and [r.share for r in shares.collect()] == [0, 0]
     assert mix.mix(docs, targets.limit(0), tokenizer=tokenizer)[0].count() == 0
+
+
+def test_all_tokens_of_the_sources_fix_the_total(spark, tokenizer):
+    docs = spark.createDataFrame([(i, "abcd", "en", "a", "x") for i in range(50)] + [(90, "abcd", "en", "b", "x")] + [(i, "abcd", "en", "c", "y") for i in range(100, 120)], SCHEMA + ", kind string")
+    targets = spark.createDataFrame([("a", 0.25, 2), ("b", 0.25, 1), ("c", 0.5, 6)], TARGETS)
+    used, shares = mix.mix(docs, targets, total=mix.ALL_TOKENS, tokenizer=tokenizer, domain="kind")
+    # of 284 tokens, b's missing 67 go to its sibling a; c repeats towards its half
+    assert {r.source: r.tokens for r in shares.collect()} == {"a": 136, "b": 4, "c": 140}
+    assert {r.repeats for r in used.filter("source = 'c'").collect()} == {1, 2}
+
+
+def test_caps_and_repeats_decide_the_registered_mixture(spark):
+    d = "/root/testdata/sf0.01"
+    cap = {r.source: r.max_repeats for r in spark.read.parquet(f"{d}/mix_targets.parquet").collect()}
+    rows = catalog.QUERIES["p9_mixture"](spark, d).collect()
+    assert all(1 <= r.repeats <= cap[r.source] for r in rows) and max(r.repeats for r in rows) > 1
+    held = {r.source: r.n for r in spark.read.parquet(f"{d}/documents.parquet").filter("text <> ''").groupBy("source").agg({"doc_id": "count"}).toDF("source", "n").collect()}
+    assert sum(r.source == "survey_replies" for r in rows) == held["survey_replies"]
+    got = {r.source: r for r in catalog.QUERIES["p9_shares"](spark, d).collect()}
+    assert got["survey_replies"].share < got["survey_replies"].target_share - 0.03
+    assert sum(r.tokens for r in got.values()) == sum(r.tokens * r.repeats for r in rows)
