@@ -6,13 +6,14 @@ distribution and the items are ordered by the weighted mean of those values.
 
 A missing or NaN score counts as the lowest present one of its group. A score that
 a whole group lacks has no say there. Groups where no score is present keep all
-items at mean 0. Items with equal means are ordered by key. Rows repeated under
+items at mean 0. Items whose means agree to nine places are ordered by key. Rows repeated under
 one (group, key) count once, with the largest of each score. Rows with a null
 group or key are left out. Only the named columns are read, so others may clash.
 
 Groups of more than ``hot_rows`` rows never meet in one task: their ranks come
-from counts per distinct value, prefix-summed over value buckets and then within
-each bucket. Both ways give the same numbers.
+from counts per distinct value, prefix-summed over ranges of values and then within
+each range; a value shared by many hits is salted. Both ways give the same numbers.
+The list of such groups is sent to every task only if it has at most ``SMALL`` rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import broadcast_within, cut_lineage
+
 HOT_ROWS = 200_000
-BUCKETS = 4096
+HOT_TIES, SALTS, RANGES, SMALL = 50_000, 32, 64, 100_000
+#: Means are compared after rounding to so many places, else the order of the sum would part ties.
+PLACES = 9
 
 # P. J. Acklam's rational approximation of the inverse normal distribution.
 A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -81,35 +86,43 @@ def _cold(rows: DataFrame, scores: list[str], weights: list[float]) -> DataFrame
     hits = hits.withColumns({f"_p_{s}": _percentile(F.col(f"_below_{s}"), F.col(f"_ties_{s}"), F.col("n")) for s in scores})
     hits = with_probit(hits, {f"_z_{s}": f"_p_{s}" for s in scores})
     fused = hits.withColumn("fused", _mean(scores, weights, has))
-    return fused.select("group", "key", "n", "fused", F.row_number().over(group.orderBy(F.desc("fused"), "key")).cast("long").alias("place"))
+    best = group.orderBy(F.desc(F.round("fused", PLACES)), "key")
+    return fused.select("group", "key", "n", "fused", F.row_number().over(best).cast("long").alias("place"))
+
 
+def _running(counts: DataFrame, keys: list[str], order: list[str], n: str) -> DataFrame:
+    """``counts`` with ``below``: the sum of ``n`` over the rows of the same keys that come earlier by ``order``.
 
-def _below(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, v, ties, below): how many rows of its group lie below each distinct value v."""
-    counts = values.groupBy(*keys, "v").agg(F.count("*").alias("ties"))
-    span = counts.groupBy(*keys).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS))).otherwise(0)
-    bucketed = counts.join(span, keys).withColumn("_b", F.coalesce(at, F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("ties").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    below = bucketed.withColumn("_inside", F.coalesce(F.sum("ties").over(inside), F.lit(0)))
-    return below.join(totals.drop("_t"), [*keys, "_b"]).select(*keys, "v", "ties", (F.col("_before") + F.col("_inside")).alias("below"))
+    Rows are range-partitioned by keys and order, so a group lies in consecutive partitions
+    of like size, whatever its values; a table of one row per group and partition links them.
+    """
+    ranged = counts.repartitionByRange(RANGES, *keys, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # the ranges are drawn from a sample: both uses below must see the same ones
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_p").agg(F.sum(n).alias("_t")).select(*keys, "_p", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    return rows.join(totals, [*keys, "_p"]).withColumn("below", F.col("_before") + F.col("_inside")).drop("_p", "_before", "_inside")
 
 
 def _hot(rows: DataFrame, scores: list[str], weights: list[float]) -> DataFrame:
     """Groups of any size: ranks from counts per distinct value."""
     hits = _distinct(rows, scores)
     stats = hits.groupBy("group").agg(F.count("*").alias("n"), *[F.min(s).alias(f"_min_{s}") for s in scores])
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.coalesce(s, f"_min_{s}").alias("v"), F.lit(float(w)).alias("w")) for k, (s, w) in enumerate(zip(scores, weights))]))
-    long = hits.join(stats, "group").select("group", "key", "n", each.alias("_e")).select("group", "key", "n", "_e.*")
-    ranks = _below(long.filter("v is not null").select("group", "s", "v"), ["group", "s"])
-    long = long.join(ranks, ["group", "s", "v"], "left").withColumn("_p", _percentile(F.col("below"), F.col("ties"), F.col("n")))
-    parts = with_probit(long, {"_z": "_p"}).groupBy("group", "key", "n").agg(F.sum(F.when(F.col("_z").isNotNull(), F.col("w"))).alias("_w"), F.sum(F.col("_z") * F.col("w")).alias("_wz"))
-    fused = parts.select("group", "key", "n", F.when(F.col("_w") > 0, F.col("_wz") / F.col("_w")).otherwise(0.0).alias("fused"))
-    above = _below(fused.select("group", (-F.col("fused")).alias("v")), ["group"]).select("group", (-F.col("v")).alias("fused"), "below")
-    tied = Window.partitionBy("group", "fused").orderBy("key")
-    return fused.join(above, ["group", "fused"]).select("group", "key", "n", "fused", (F.col("below") + F.row_number().over(tied)).alias("place"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("s"), F.coalesce(s, f"_min_{s}").alias("v")) for k, s in enumerate(scores)]))
+    long = cut_lineage(hits.join(broadcast_within(stats, SMALL), "group").select("group", "key", "n", each.alias("_e")).select("group", "key", "n", "_e.*"))
+    counts = long.filter("v is not null").groupBy("group", "s", "v").agg(F.count("*").alias("ties"))
+    ranks = _running(counts, ["group", "s"], ["v"], "ties")
+    # a value that most hits share, as the lowest one put in for nulls: salted on one side, repeated on the other
+    ranks = ranks.withColumn("_salt", F.explode(F.when(F.col("ties") > HOT_TIES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))))
+    many = broadcast_within(cut_lineage(counts.filter(F.col("ties") > HOT_TIES).select("group", "s", "v", F.lit(True).alias("_many"))), SMALL)
+    salt = F.when(F.col("_many"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    long = long.join(many, ["group", "s", "v"], "left").withColumn("_salt", salt).drop("_many").join(ranks, ["group", "s", "v", "_salt"], "left")
+    long = with_probit(long.withColumn("_p", _percentile(F.col("below"), F.col("ties"), F.col("n"))), {"_z": "_p"})
+    wide = long.groupBy("group", "key", "n").agg(*[F.max(F.when(F.col("s") == k, F.col("_z"))).alias(f"_z_{s}") for k, s in enumerate(scores)])
+    fused = wide.select("group", "key", "n", _mean(scores, weights, {s: F.col(f"_z_{s}").isNotNull() for s in scores}).alias("fused"))
+    placed = _running(fused.select("*", (-F.round("fused", PLACES)).alias("_v"), F.lit(1).alias("_one")), ["group"], ["_v", "key"], "_one")
+    return placed.select("group", "key", "n", "fused", (F.col("below") + 1).alias("place"))
 
 
 def fuse(hits: DataFrame, group: str, key: str, scores: list[str], weights: list[float] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -120,7 +133,8 @@ def fuse(hits: DataFrame, group: str, key: str, scores: list[str], weights: list
     clean = [F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double") + 0.0).alias(f"s{k}") for k, s in enumerate(scores)]
     rows = hits.select(F.col(group).alias("group"), F.col(key).alias("key"), *clean).filter("group is not null and key is not null")
     names = [f"s{k}" for k in range(len(scores))]
-    hot = rows.groupBy("group").count().filter(F.col("count") > hot_rows).select("group")
+    hot = cut_lineage(rows.groupBy("group").count().filter(F.col("count") > hot_rows).select("group"))  # a small share of rows / hot_rows
+    hot = broadcast_within(hot, SMALL)
     cold = _cold(rows.join(hot, "group", "left_anti"), names, weights)
-    out = cold.unionByName(_hot(rows.join(hot, "group", "left_semi"), names, weights))
+    out = cold if hot.isEmpty() else cold.unionByName(_hot(rows.join(hot, "group", "left_semi"), names, weights))
     return out.withColumnsRenamed({"group": group, "key": key})
