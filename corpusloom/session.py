@@ -56,3 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def write_shared(df: DataFrame, by: list[str]) -> str:
+    """Write ``df`` as parquet to a new place of the shared folder, partitioned by ``by``; returns its URI."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(folder)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
