@@ -5,14 +5,15 @@ words of it may be changed, dropped or added. The words of every item are cut in
 aligned pieces short enough that each passage holds ``max_errors + 1`` whole ones;
 with at most that many edits one piece stays intact (pigeonhole). All pieces are
 sought at once in the words of each document, and every hit is verified by Myers'
-bit-parallel edit distance over words.
+bit-parallel edit distance over words, literal passages (distance 0) included.
 
 Words are longest runs of letters, digits and underscores, lower-cased, so case,
 punctuation and layout don't matter. Items of fewer words than a passage, null or
 empty texts and null ids give no rows. A text under several ids is reported for
 each of them. Rows repeated under one id count once. Documents are processed whole.
-The items are sent to every task in blocks of at most ``block_bytes`` of text (plus
-one item), one pass over the documents for each block, so any number of items works.
+The items are written to the shared folder in blocks of about ``block_bytes`` of text,
+and each task reads the block it seeks; the driver never holds an item. There is one
+pass over the documents for each block, so the time grows with the blocks of items.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_shared
+
 MIN_WORDS = 13
 MAX_ERRORS = 1
 BLOCK_BYTES = 16 << 20
@@ -68,6 +71,13 @@ def _longest_run(doc: list[str], item: list[str], at: int, piece: int, size: int
     return piece - left, left + right
 
 
+def _windows(doc: list[str], item: list[str], at: int, piece: int, size: int, min_words: int) -> list[int]:
+    """Starts of the item's passages that hold a piece, those first that agree most with the document around the hit."""
+    start, run = _longest_run(doc, item, at, piece, size)
+    firsts = range(max(0, piece + size - min_words), min(piece, len(item) - min_words) + 1)
+    return sorted(firsts, key=lambda f: max(0, start - f) + max(0, f + min_words - start - run))
+
+
 def _matcher(items: list[tuple], min_words: int, max_errors: int):
     """A function from the words of a document to {item index: (errors, words matched)}."""
     import ahocorasick
@@ -98,25 +108,36 @@ def _matcher(items: list[tuple], min_words: int, max_errors: int):
             at = bisect_left(ends_at, end) - size  # index of the piece's first word
             for i, p in places[piece]:
                 item = words[i]
-                start, run = _longest_run(doc, item, at, p, size)
-                if run >= min_words:
-                    best = found.get(i, (max_errors + 1, 0))
-                    found[i] = min(best, (0, -run))
-                    continue
-                if not max_errors or found.get(i, (1, 0))[0] == 0 or (i, start, at - p) in tried:
+                if (i, at - p) in tried and found.get(i, (1, 0))[0] == 0:
                     continue
-                tried.add((i, start, at - p))
-                for first in range(max(0, p + size - min_words), min(p, len(item) - min_words) + 1):
+                tried.add((i, at - p))
+                for first in _windows(doc, item, at, p, size, min_words):
                     low = max(0, at - (p - first) - max_errors)
-                    ends = myers(item[first : first + min_words], doc[low : at + min_words - (p - first) + max_errors])
-                    errors = min(ends, default=min_words)
-                    if errors <= max_errors:
-                        found[i] = min(found.get(i, (max_errors + 1, 0)), (errors, -min_words))
+                    errors = min(myers(item[first : first + min_words], doc[low : at + min_words - (p - first) + max_errors]), default=min_words)
+                    if errors > max_errors:
+                        continue
+                    run = max(min_words, _longest_run(doc, item, at, p, size)[1]) if errors == 0 else min_words
+                    found[i] = min(found.get(i, (max_errors + 1, 0)), (errors, -run))
+                    if errors == 0:
+                        break
         return {i: (errors, -run) for i, (errors, run) in found.items()}
 
     return match
 
 
+def _items(folder: str, block: int) -> list[tuple]:
+    """(item_id, text) of one block of items in the shared folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    filesystem, path = fs.FileSystem.from_uri(folder)
+    path = f"{path}/block={block}"
+    if filesystem.get_file_info(path).type == fs.FileType.NotFound:
+        return []
+    table = ds.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=["item_id", "text"])
+    return list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist()))
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
     min_words: int = MIN_WORDS, max_errors: int = MAX_ERRORS, block_bytes: int = BLOCK_BYTES,
@@ -134,11 +155,12 @@ def find_leaks(
     schema = f"doc_id {id_type}, item_id {item_type}, errors int, run_words int"
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    folder = write_shared(tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), ["block"])
     out = None
     for b in range(blocks):
-        rows = [(r.item_id, r.text) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
 
-        def search(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], block=b) -> Iterator[pd.DataFrame]:
+            rows = _items(folder, block)
             match = _matcher(rows, min_words, max_errors)
             for pdf in batches:
                 found = []
