@@ -157,7 +157,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query(SHARES_SQL + "select doc_id, n_words, round(share, 6) as repeated_share from s")
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """The repeated share of every document."""
-    rows = repeat.repetition(spread(read(spark, d, "documents", "doc_id", "text")), share=0.3)
+    rows = repeat.repeated_shares(spread(read(spark, d, "documents", "doc_id", "text")))
     return rows.select("doc_id", "n_words", F.round("repeated_share", 6).alias("repeated_share"))
 
 

@@ -28,7 +28,7 @@ def texts(n):
 
 def test_shares_equal_brute_force():
     rows = [None, "", "One two", "é " * 9, *texts(150)]
-    got = repeat.measure(rows)["repeated_share"]
+    got = repeat.exact_shares(rows)["repeated_share"]
     assert [round(x, 9) for x in got] == [round(brute(t), 9) for t in rows]
 
 
@@ -49,12 +49,25 @@ def test_forest_isolates_outliers():
     assert score[-1] > score[:-1].max()
 
 
-def test_no_row_of_the_wanted_share_scores_below_the_bound():
+def test_held_out_recall_of_the_calibrated_forest():
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    x = np.abs(rng.normal(0, 0.1, (600, 5)))
-    forest = repeat.grow_forest(x)
-    rows = rng.uniform(0, 1, (3000, 5))
-    rows[:, 0] = rng.uniform(0.3, 1, 3000)
-    assert repeat.anomaly(forest, rows).min() >= repeat.least_score(forest, 0, 0.3)
+    rows = texts(3000)
+    x, share = repeat.measure(rows)[repeat.STATISTICS].to_numpy(), repeat.exact_shares(rows)["repeated_share"].to_numpy()
+    wanted = share >= 0.3
+    forest = repeat.grow_forest(x[:1000])
+    threshold = repeat.calibrated(repeat.anomaly(forest, x[:1000]), wanted[:1000])
+    suspect = repeat.anomaly(forest, x[1000:]) >= threshold
+    assert suspect[wanted[1000:]].mean() >= 0.99
+    assert repeat.calibrated(np.array([0.4, 0.9]), np.array([False, False])) == -1.0
+    assert 0.6 < repeat.calibrated(np.array([0.4, 0.4, 0.9]), np.array([False, False, True])) < 0.7
+
+
+def test_share_of_suspects_only_and_of_all(spark):
+    rows = [(i, "ab cd ef gh ij kl mn op " * (1 + 3 * (i % 20 == 0)) + f"w{i} v{i} u{i}") for i in range(400)] + [(900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repeat.repetition(df, sample=200).collect()}
+    assert all(r.suspect and r.repeated_share > 0.6 for i, r in got.items() if i < 400 and i % 20 == 0)
+    assert sum(not r.suspect for r in got.values()) > 300 and all(r.repeated_share is None for r in got.values() if not r.suspect)
+    every = {r.doc_id: r.repeated_share for r in repeat.repeated_shares(df).collect()}
+    assert every == {i: brute(t) for i, t in rows}
