@@ -63,3 +63,10 @@ def write_shared(df: DataFrame, by: list[str]) -> str:
     folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet to the shared folder and read it back: like ``cut_lineage``, but by column."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
