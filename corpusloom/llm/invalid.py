@@ -1,630 +1,538 @@
 """Problem 3: source files that do not parse.
 
-Files are lexed into rows, one for each distinct line shape of a file (its token
-classes between ``^`` and ``$``) and one for each event that nesting or statement
-order depends on. Three checks flag a file:
-
-* an adjacent pair of token classes that the language's grammar does not permit. The
-  permissible pairs are derived from which classes can end an operand, begin one,
-  stand between two or before one, and which keywords take part in declarations;
-  the pairs of all distinct shapes are anti-joined with them;
-* brackets that do not nest: at each depth, windows must see every opening bracket
-  followed by the closing one of its kind;
-* lines and statements that no production covers: block headers without a body, clauses
-  without the statement they belong to (windows over lines of equal indent, or over the
-  statements of a block), classes that do not go on across a line end, statements that
-  a line end, a closing brace or the end of the file leaves without their terminator
-  (Rust, Go, Java), statements that may not stand at top level (Rust, Go, Java), type
-  annotations in JavaScript, JSON and TOML values that do not reduce. JavaScript and
-  TypeScript end statements at line ends by themselves, so there only brackets are
-  followed across them.
-
-Python, JSON and TOML flags are then confirmed by the parser in the standard library;
-for the other languages the checks stand for themselves, and may miss an error that
-keeps pairs, nesting and productions intact.
+Files are lexed in Arrow batches. A file gives rows of three kinds: its distinct pairs of
+adjacent token classes, all its brackets in order, and its statements. A statement is the
+token classes between two ends of statements inside one bracket, one character each, with
+inner brackets reduced to their marks. The lexer only says which tokens stand together; it
+judges nothing. The checks do, over these rows:
+
+* **Pairs** are anti-joined with those that the grammar of the language permits, derived
+  from which classes can end an operand, begin one, stand between two or before one, and
+  which keywords take part in declarations.
+* **Nesting.** A running sum over the rows of all brackets of a file gives each one's depth;
+  windows over one depth must see every opening bracket followed by the closing one of
+  its kind, and no depth may fall below one.
+* **Productions.** Each statement must match a production of its language for the kind of
+  bracket around it. Windows over the statements of a block see clauses with the statement
+  they belong to (``else``, ``catch``, ``finally``, ``while`` of ``do``), and statements
+  that end in the brace of a value with what must follow. Windows over the lines of a
+  Python file see headers with their deeper lines, and clauses at the same indent; a fold
+  over its indents sees ways back to no open block. Keys of TOML tables are counted.
+
+No parser stands in the way of a row; the tests compare with the parsers of the standard
+library. Names, types and numbers of arguments are not looked at, and what a macro of Rust
+holds between braces only by its pairs.
 
 The extension tells the language. Null texts and other languages never count, empty
-files are valid. Repeated rows of a file count once. Only the named columns are read.
+files are valid. A file whose rows differ counts if one of them does; repeated rows count
+once. Only the named columns are read. A text is lexed in one task; its rows are spread
+and may spill.
 """
 
 from __future__ import annotations
 
 import re
-import warnings
 from collections.abc import Iterator
-from itertools import product
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.words import extension
-from ..session import cut_lineage
-
-LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "ts": "typescript", "js": "javascript", "java": "java", "json": "json", "toml": "toml"}
-CONFIRMED = ["python", "json", "toml"]
-
-# Reserved words, and literals among them.
-KEYWORDS = {
-    "python": "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
-    "rust": "as async await break const continue dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type unsafe use where while",
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp switch synchronized throw throws transient try void volatile while",
-    "javascript": "as async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static switch throw try typeof var void while with yield",
+from ..session import keep
+from . import grammar as g
+
+def pair_table(spark: SparkSession) -> DataFrame:
+    """(lang, pair): the codes of the permissible pairs of every language; its size is fixed."""
+    rows = [(lang, g.CODES[a] + g.CODES[b]) for lang in [*g.KEYWORDS, "json"] for a, b in sorted(g.permissible_pairs(lang)) if a in g.CODES and b in g.CODES]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "pair"]))
+
+
+class _Classes(dict):
+    """Token -> the code of its class, '' where it says nothing; remembered for the first 2^17 tokens."""
+
+    def __init__(self, lang: str):
+        words = [*g.KEYWORDS[lang].split(), *g.LITERALS[lang].split()] if lang in g.KEYWORDS else []
+        super().__init__({t: g.CODES[t] for t in [*words, *g.operators(lang), *g.OPEN, *g.CLOSE]})
+        if lang == "json":
+            self.update({t: g.CODES["l"] for t in ("true", "false", "null")})
+        self.lang, self.number = lang, re.compile(g.NUMBER.get(lang, r".*"), re.S)
+
+    def __missing__(self, token: str) -> str:
+        found = self.tell(token)
+        found = "\n" if found == "\n" else g.CODES[found] if found else ""
+        if len(self) < 1 << 17:
+            self[token] = found
+        return found
+
+    def tell(self, t: str) -> str:
+        lang, c = self.lang, t[0]
+        if c == "\n":
+            return "\n"
+        if t == "\\\n" or lang == "python" and c == "#" or c == "@" and len(t) > 1 or lang == "rust" and c == "#" and len(t) > 1:
+            return ""
+        if c == "/" and len(t) > 1:
+            return g.FAULT if t == "/*" else "" if t[1] in "/*" else "0"
+        if c.isalpha() or c in "_$":
+            if t[-1] in "\"'" and len(t) > 1:
+                return "c" if t[-1] == "'" and lang == "rust" else "s"
+            return "s" if t[-1] == "#" else g.FAULT if lang == "json" else "n"
+        if c.isdigit() or c in ".-" and len(t) > 1:
+            return "0" if self.number.fullmatch(t) else g.FAULT
+        if c in "\"'`":
+            if len(t) == 1:
+                return g.FAULT
+            if c == "'" and lang in ("rust", "go", "java"):
+                return "c" if t[-1] == "'" else "'" if lang == "rust" else g.FAULT
+            return "s"
+        return g.FAULT
+
+
+def _set(tokens) -> str:
+    return "[" + "".join(g.CODES[t] for t in tokens if t in g.CODES) + "]"
+
+
+_C = g.CODES
+_OPENS, _CLOSES = {_C[t]: t for t in g.OPEN}, {_C[t] for t in g.CLOSE}
+#: Line ends that end no statement.
+_IDLE = {
+    "go": re.compile(rf"(?<!{_set(g.GO_ENDS)})\n"),
+    "javascript": re.compile(rf"(?<!{_set(g.SCRIPT_ENDS)})\n|\n(?={_set(g.SCRIPT_GOES_ON)})"),
 }
-KEYWORDS["typescript"] = KEYWORDS["javascript"] + " abstract as asserts declare enum implements infer interface is keyof namespace module override private protected public readonly satisfies type unique any"
-LITERALS = {
-    "python": "True False None", "rust": "true false self Self super crate", "go": "true false nil iota", "java": "true false null this super", "javascript": "true false null undefined this super",
-}
-LITERALS["typescript"] = LITERALS["javascript"]
-#: Keywords that may follow an operand on its line.
-AFTER_OPERAND = {
-    "python": "and as else for from if import in is not or async", "rust": "as else for if in where", "go": "chan else func interface map struct", "java": "default extends implements instanceof throws else while catch finally final",
-    "javascript": "as async await catch else extends finally from function if in instanceof of return throw while break continue get set static new case default const let var for typeof delete",
-}
-AFTER_OPERAND["typescript"] = AFTER_OPERAND["javascript"] + " as implements is satisfies keyof readonly private public protected infer any"
-CONTEXTUAL = set("async from get set static of as type declare readonly abstract is keyof module namespace override any unique infer asserts satisfies public private protected implements interface enum await let yield default match".split())
-HEADS = {"java": "if while switch catch synchronized for", "javascript": "if while switch with", "typescript": "if while switch with"}
-INFIX = {
-    "python": "== != <= >= < > + - * / // % ** @ & | ^ << >> = += -= *= /= //= %= **= &= |= ^= >>= <<= @= := . -> ",
-    "rust": "== != <= >= < > + - * / % & | ^ << >> && || = += -= *= /= %= &= |= ^= <<= >>= . :: -> => .. ..= @ ",
-    "go": "== != <= >= < > + - * / % & | ^ << >> &^ && || = := += -= *= /= %= &= |= ^= <<= >>= &^= . <- ",
-    "java": "== != <= >= < > + - * / % & | ^ << >> >>> && || = += -= *= /= %= &= |= ^= <<= >>= >>>= . :: -> ? ",
-    "javascript": "== === != !== <= >= < > + - * ** / % & | ^ << >> >>> && || ?? = += -= *= **= /= %= &= |= ^= <<= >>= >>>= &&= ||= ??= . ?. => ? ",
-}
-INFIX["typescript"] = INFIX["javascript"]
-PREFIX = {
-    "python": "+ - ~ * ** @ ...", "rust": "- ! & && * | || .. ..= ' # < ::", "go": "+ - ! ^ * & <-", "java": "+ - ! ~ ++ -- @ < ...",
-    "javascript": "+ - ! ~ ++ -- ... @ # <", "typescript": "+ - ! ~ ++ -- ... @ # < |&",
-}
-POSTFIX = {"python": "...", "rust": "? ! > >> .. ' .. *", "go": "++ -- ... *", "java": "++ -- > >> >>> ... ? *", "javascript": "++ -- ", "typescript": "++ -- ! > >> >>> ?"}
-OPERANDS = "n 0 s c".split()
-OPEN, CLOSE = "( [ {".split(), ") ] }".split()
-FAULT = "E"
-SALTS = 16
-
-
-def permissible_pairs(lang: str) -> set[tuple[str, str]]:
-    """Adjacent token classes that the grammar of a language permits within a line."""
+_IDLE["typescript"] = _IDLE["javascript"]
+_STOPS = re.compile(rf"[{''.join([*_OPENS, *_CLOSES])}{_C[';']}{_C[',']}\n]")
+_TELLING = {lang: re.compile(_set(k for k in ks)) for lang, ks in g.OPENERS.items()}
+_KIND = {lang: {_C[k]: kind for k, kind in ks.items()} for lang, ks in g.OPENERS.items()}
+_CUTS = {"top", "block", "members", "switch", "items", "fields", "match", "any", "enum", "types", "specs"}
+_is = lambda code, words: code in {_C[t] for t in words.split()}
+_VALUE = {_C[t] for t in "= , ( [ : ? return ] && || ?? + == += := in of yield await default".split()}
+_AFTER = {_C[t] for t in ") else do try finally ; }".split()} | {""}
+
+
+def holds(lang: str, opener: str, p1: str, p2: str, kw: str, fresh: bool) -> str:
+    """What a bracket holds, from the codes before it and the last telling keyword of its statement."""
+    told = _KIND.get(lang, {}).get(kw)
     if lang == "json":
-        value, start = ["s", "0", "l"], ["s", "0", "l", "{", "["]
-        out = set(product(["["], [*start, "]"])) | set(product(["{"], ["s", "}"])) | set(product([*value, "}", "]"], [",", "}", "]"]))
-        return out | {("s", ":")} | set(product([":"], start)) | set(product([","], start)) | set(product(["^"], [*value, *OPEN, *CLOSE, ",", ":"])) | set(product([*value, *OPEN, *CLOSE, ",", ":"], ["$"]))
-    words, literals, after = (x[lang].split() for x in (KEYWORDS, LITERALS, AFTER_OPERAND))
-    infix, prefix, postfix = INFIX[lang].split(), PREFIX[lang].split(), POSTFIX[lang].split()
-    context = [w for w in words if w in CONTEXTUAL] if lang in ("javascript", "typescript") else []
-    ends = [*OPERANDS, *literals, *CLOSE, *postfix, *context]
-    begins = [*OPERANDS, *literals, *OPEN, *prefix]
-    out = set(product(ends, [*infix, *postfix, ",", ";", ":", *CLOSE, "(", "[", "{", *after]))
-    out |= set(product([*infix, *prefix, ",", ";", ":", *OPEN], [*begins, *words]))
-    out |= set(product(words, [*begins, *words, ";", ":", ",", *CLOSE, "*", "<"])) | set(product(infix, words))
-    out |= set(product(OPEN, CLOSE)) | set(product([",", ";", ":"], [*CLOSE, ";"])) | {("}", w) for w in words} | {(")", w) for w in words if lang != "python"}
-    out |= set(product(["^"], [*begins, *infix, *postfix, *words, *CLOSE, ",", ";", ":"])) | set(product([*ends, *infix, *prefix, *words, *OPEN, ",", ";", ":"], ["$"]))
+        return "object" if opener == "{" else "array"
     if lang == "python":
-        out -= set(product([x for x in infix if x != "*"], ["$"])) | set(product(["^"], [",", ":", *CLOSE, "."]))
-        out |= {("s", "s"), (".", "..."), ("import", "*"), ("^", "@"), (".", "."), ("from", "."), (".", "import"), ("...", "import"), ("from", "..."), (":", ":"), ("*", ","), ("/", ","), ("/", ")"), (",", "/")}
-    if lang in ("go", "java"):  # a type before or after its name
-        out |= set(product(["n", "]", "}", ">", ">>", "?", *(["*"] if lang == "go" else [])], ["n"])) | {(")", "n"), ("...", "n"), ("}", "else")}
-    if lang == "go":
-        out |= {(")", "("), (")", "*"), ("n", "*"), ("n", "<-"), ("n", "["), ("import", "s"), ("n", "s"), (")", "["), ("]", "*"), (".", "("), ("*", "n"), ("*", ")")} | set(product(["n", "]", ")", "*"], ["map", "chan", "func", "struct", "interface"]))
-        out -= set(product(["import", "package"], ["{", "[", "*", "("])) | {("package", "s"), ("import", "c"), (".", "*")}
-        out |= {("import", "(")} | set(product(["s"], ["$"]))
+        if opener == "(":
+            return "params" if p2 == _C["def"] else "call" if p2 == _C["class"] or _is(p1, "n ) ]") else "group"
+        return "index" if opener == "[" else "set"
+    if opener != "{":
+        if opener == "(" and lang == "go" and _is(p1, "import var const type"):
+            return "specs"
+        return "for" if opener == "(" and _is(p1, "for try await") else "any" if opener == "[" and lang == "rust" else "paren"
     if lang == "java":
-        out |= {(".", "*"), (">", "("), ("?", ">"), ("?", "extends"), ("?", "super"), (")", "s"), (")", "0"), (")", "c"), (")", "!"), (")", "("), ("<", ">"), ("]", "{"), ("->", "{"), ("::", "new"), (".", "class"), (">", "void")}
-        out |= {(k, "[") for k in words} | {(k, ".") for k in ("int", "long", "double", "float", "boolean", "byte", "char", "short")} | {(k, "...") for k in words} | {(k, ">") for k in words} | set(product([">", "]"], words))
-        out |= set(product([")"], literals)) | {("new", "n"), ("-", "-")} | set(product(["&"], ["n"]))
-        out -= {("import", "{"), ("import", "s"), ("import", "("), ("package", "s")}
+        if _is(p1, "= ] , ( ["):
+            return "value"
+        if p1 == _C["->"]:
+            return "block"
+        if told and not (kw == _C["new"] and p1 != _C[")"]):
+            return told
+        return "block" if _is(p1, ") else do try finally static ; } :") or not p1 or p1 == _C["{"] else "any"
     if lang == "rust":
-        out |= {("!", "["), ("!", "("), ("!", "{"), ("!", "n"), ("|", "|"), ("n", "!"), ("'", "n"), ("c", "n"), (">", ">"), (">", "{"), ("<", "'"), ("<", "<"), ("&", "'"), ("&", "mut"), ("*", "const"), ("*", "mut"), ("|", "{"), ("||", "{"), ("|", "n"), ("|", "->"), ("=>", "{"), ("#", "["), ("#", "!"), ("<", ">"), ("_", "_"), ("..", "}"), ("..", ")"), ("..", "]"), ("?", ";"), ("::", "<"), ("::", "{"), ("::", "*"), ("]", "pub"), (">", "("), (",", "|"), ("->", "!"), ("(", "|")}
-        out |= {(t, "'") for t in ("<", "&", "+", ",", ":", "(", "=")} | set(product([">", "]"], words)) | set(product(["'"], ["n", "static"])) | {("crate", ")"), ("$", "n")}
-        out |= {(a, b) for a in (">", ">>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "::", "]", "where", "for", "+", "?", ".", "|", "->")} | {("pub", "("), ("'", ":"), ("n", "'")} | {(x, "=>") for x in ends} | {("|", "&"), ("|", "_")}
-    if lang in ("javascript", "typescript"):
-        out |= {(x, "n") for x in context} | {("!", "!"), ("=>", "{"), ("function", "*"), ("yield", "*"), ("import", "*"), ("export", "*"), ("*", "as"), ("n", "s"), ("?", "."), (")", "n"), (")", "s"), (")", "["), (")", "!"), (")", "++"), (")", "0"), ("}", "n"), ("}", ")"), ("/", ")"), ("import", "s"), ("async", "("), ("*", "n"), ("*", "["), ("for", "("), ("for", "await"), ("n", "=>"), ("*", "from"), ("static", "#"), ("static", "*"), ("static", "["), ("async", "*")}
-        out |= set(product([")"], [*begins])) - {(")", "<")} | set(product(["}"], begins))
-        out -= {("n", "s")}
-    if lang == "typescript":
-        out |= {("?", ":"), ("!", ":"), ("!", "."), ("!", ";"), ("!", ")"), ("!", "["), ("!", ","), (":", "|"), ("=", "|"), ("^", "|"), ("^", "&"), ("-", "?"), ("+", "?"), ("-", "readonly"), ("<", ">"), (">", ">"), (">", "("), (">", "{"), ("?", "("), ("?", ","), ("?", ")")} | {(k, ">") for k in words} | {(k, x) for k in words for x in ("[", "|", "&", "=", "=>", ";", "{", "?", ".")}
-        out |= {(a, b) for a in (">", ">>", ">>>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "]", "|", "&", "=>", "[", "}", ".", "extends", "implements", ":")} | {("abstract", "class"), ("declare", "n"), ("readonly", "["), ("new", "(")}
-    for k in HEADS.get(lang, "").split():
-        out = {(a, b) for a, b in out if a != k or b in ("(", "$")}
-    return {(a, b) for a, b in out if FAULT not in (a, b)}
-
-
-def _lexer(lang: str) -> re.Pattern:
-    operators = sorted({*INFIX[lang].split(), *PREFIX[lang].split(), *POSTFIX[lang].split(), ",", ";", ":"} - {"'", "|&", "$"}, key=lambda x: (-len(x), x))
-    comment = r"#[^\n]*" if lang == "python" else r"//[^\n]*|/\*[\s\S]*?\*/"
-    string = {
-        "python": r"[rRuUbBfFtT]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')",
-        "rust": r"b?r(?P<h>#*)\"[\s\S]*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"",
-        "go": r"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`",
-        "java": r"\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"",
-    }.get(lang, r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`")
-    char = {"rust": r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[^}]*\}|.))'", "go": r"'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))'", "java": r"'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'"}.get(lang, r"(?!)")
-    life = r"'(?:[^\W\d]\w*)" if lang == "rust" else r"(?!)"
-    regex = r"(?<=[=(,:;!&|?{}\[+\n] )/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*" if lang in ("javascript", "typescript") else r"(?!)"
-    return re.compile(
-        rf"(?P<nl>\n)|(?P<ws>[^\S\n]+|\\\n|{comment})|(?P<open>{'(?!)' if lang == 'python' else '/[*]'})|(?P<s>{string})|(?P<c>{char})|(?P<r>{regex})|(?P<life>{life})|(?P<n>[^\W\d$]\w*(?:\$\w*)*|\$[\w$]*)"
-        rf"|(?P<d>(?:0[xXbBoO][\w]+|(?:\d[\d_]*)?\.?\d[\d_]*(?:[eE][+-]?\d+)?\w*))|(?P<b>[()\[\]{{}}])|(?P<o>{'|'.join(map(re.escape, operators))})|(?P<bad>[\s\S])"
-    )
+        if p1 == _C["!"] or p1 == _C["n"] and p2 == _C["!"]:
+            return "macro"
+        if _is(p1, "=> || | = && else"):
+            return "block"
+        return told or ("value" if p1 == _C["::"] else "block" if _is(p1, "{ ; }") or not p1 else "any")
+    if lang == "go":
+        if _is(p1, "interface struct"):
+            return "fields"
+        if p1 == _C["n"] and p2 == _C["]"] or _is(p1, "= := , ( : return &"):
+            return "value"
+        return told or ("value" if _is(p1, "} n") and not fresh else "any")
+    if p1 == _C["=>"]:
+        return "block"
+    if told and _is(kw, "class interface enum namespace module type switch"):
+        return told
+    return "value" if p1 in _VALUE else "block" if p1 in _AFTER else told or "any"
 
 
-def lex(text: str, lang: str, lexer: re.Pattern, words: frozenset) -> tuple[list[str], list[tuple[int, str]], list[tuple[int, int, str, bool]]]:
-    """(shapes of the lines, bracket events (position, bracket), logical lines (number, indent, first word, ends in a colon))."""
-    shapes, events, logical = [], [], []
-    line: list[str] = []
-    depth, number, indent, start, serial = 0, 0, 0, 0, 0
-    python, levels = lang == "python", [0]
-
-    def close() -> None:
-        nonlocal number
-        if line:
-            shapes.append(" ".join(("^", *line, "$")))
-            logical.append((number, indent, line[0], line[-1] == ":"))
-            number += 1
-            line.clear()
-
-    for m in lexer.finditer(text):
-        kind = m.lastgroup
-        if kind == "ws":
-            continue
-        if kind == "nl":
-            start = m.end()
-            if not python or depth <= 0:
-                close()
-            continue
-        token = m.group()
-        if python and not line:
-            lead = text[start : m.start()]
-            indent = len(lead.expandtabs(8)) if not lead.strip() else indent
-            while levels[-1] > indent:
-                levels.pop()
-                if levels[-1] < indent:  # back to a level that no block has
-                    line.append(FAULT)
-            if levels[-1] < indent:
-                levels.append(indent)
-        if kind == "n":
-            line.append(token if token in words else "n")
-        elif kind == "s":
-            line.append("s")
-            if "\n" in token:
-                start = m.start() + token.rfind("\n") + 1
-        elif kind == "c":
-            line.append("c")
-        elif kind == "r":
-            line.append("0")
-        elif kind == "life":
-            line.append("'")
-            line.append("n")
-        elif kind == "d":
-            line.append("0")
-        elif kind == "b":
-            line.append(token)
-            depth += 1 if token in "([{" else -1
-            if events and events[-1][1] + token in ("()", "[]", "{}"):
-                events.pop()
-            else:
-                events.append((serial, token))
-                serial += 1
-        elif kind == "o":
-            line.append(token)
-        elif kind == "h":
-            line.append("s")
-        else:
-            line.append(FAULT)
-    close()
-    return shapes, events, logical
-
-
-_JSON = re.compile(r'(?P<ws>[ \t\r\n]+)|(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<d>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<l>true|false|null)|(?P<p>[{}\[\]:,])|(?P<bad>[\s\S])')
-_VALUES = re.compile(r"\{\}|\[\]|\{s:[vs0l](?:,s:[vs0l])*\}|\[[vs0l](?:,[vs0l])*\]")
-
-
-def lex_json(text: str) -> tuple[list[str], bool]:
-    """(shape of the whole text cut at line ends, whether its tokens reduce to one value)."""
-    tokens = [m.group() if m.lastgroup == "p" else {"s": "s", "d": "0", "l": "l"}.get(m.lastgroup, FAULT) for m in _JSON.finditer(text) if m.lastgroup != "ws"]
-    whole = "".join(tokens)
-    while True:
-        less = _VALUES.sub("v", whole)
-        if less == whole:
-            break
-        whole = less
-    return [" ".join(("^", *tokens[k : k + 64], "$")) for k in range(0, len(tokens), 64)], whole in ("v", "s", "0", "l") or not text.strip("\ufeff \t\r\n")
-
-
-_TOML_KEY = r"(?:[A-Za-z0-9_-]+|\"[^\"\n]*\"|'[^'\n]*')"
-_TOML_PLAIN = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'|true|false|[+-]?(?:inf|nan)|[+-]?(?:0|[1-9](?:_?\d)*)(?:\.\d(?:_?\d)*)?(?:[eE][+-]?\d+)?|0x[0-9a-fA-F_]+|\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?)?)"
-_TOML_ARRAY = rf"\[\s*(?:{_TOML_PLAIN}\s*(?:,\s*{_TOML_PLAIN}\s*)*,?\s*)?\]"
-_TOML_LINE = re.compile(rf"[ \t]*(?:#[^\n]*|\[[ \t]*{_TOML_KEY}(?:[ \t]*\.[ \t]*{_TOML_KEY})*[ \t]*\][ \t]*(?:#[^\n]*)?|\[\[[ \t]*{_TOML_KEY}(?:\.{_TOML_KEY})*[ \t]*\]\][ \t]*(?:#[^\n]*)?|{_TOML_KEY}(?:\.{_TOML_KEY})*[ \t]*=[ \t]*(?:{_TOML_PLAIN}|{_TOML_ARRAY})[ \t]*(?:#[^\n]*)?)?\r?(?:\n|\Z)")
-
-
-def toml_covered(text: str) -> bool:
-    """Whether plain productions cover every line and no table or key of a table comes twice."""
-    at, seen, table = 0, set(), ""
-    while at < len(text):
-        m = _TOML_LINE.match(text, at)
-        if not m or m.end() == at:
-            return False
-        line = m.group().strip()
-        if line.startswith("["):
-            table = line
-        if line and not line.startswith(("#", "[[")):
-            key = (table, line.split("=")[0].strip())
-            if key in seen:
-                return False
-            seen.add(key)
-        at = m.end()
-    return True
+class _Level:
+    """An open bracket: what it holds, its number, the statement begun in it and its last telling keyword."""
 
+    __slots__ = ("holds", "grp", "run", "parts", "kw", "indent")
 
-_TYPED = [r"\) : [\w. \[\]<>|]+ \{ \$", r"^\^ (?:(?:export|async|default|static|get|set) )*(?:function )?n \( n : ", r"^\^ (?:export )?(?:const|let|var) n : ", r"^\^ (?:export )?(?:interface|enum|type|namespace|declare) n"]
-_TYPED_RE = re.compile("|".join(_TYPED))
-_PY_HEAD = set("if elif else for while try except finally with def class".split())
+    def __init__(self, holds: str, grp: int):
+        self.holds, self.grp, self.run, self.parts, self.kw, self.indent = holds, grp, 0, [], "", 0
 
 
-def covered(shape: str, lang: str) -> bool:
-    """Whether a production covers the line of this shape."""
-    tokens = shape.split(" ")[1:-1]
-    if lang == "javascript":
-        return not _TYPED_RE.search(shape)
-    if lang == "go":
-        return " n n n " not in shape
-    if lang == "python" and tokens:
-        first = tokens[1] if tokens[0] == "async" and len(tokens) > 1 else tokens[0]
-        if first in _PY_HEAD:
-            depth = 0
-            for t in tokens:
-                depth += (t in OPEN) - (t in CLOSE)
-                if t == ":" and not depth:
-                    return True
-            return False
-        return not ({"{", "}"} & {tokens[-1], tokens[0]} and tokens[-1] == "{") and tokens[-1] != ";"
-    return True
-
-
-# How statements of the brace languages begin, end and go on.
-_CALLED = {"n", "this", "super"}
-_VALUE = {"=", "+=", "-=", "*=", "/=", ":="}
-_FULL = {"n", "0", "s", "c", ")", "]", "true", "false", "null", "this", "self", "nil", "?"}
-_GO_ENDS = {"n", "0", "s", "c", ")", "]", "}", "++", "--", "true", "false", "nil", "iota", "break", "continue", "return", "fallthrough"}
-_STARTS = {
-    "java": set(f"{' '.join(OPERANDS)} {LITERALS['java']} {KEYWORDS['java']}".split()) - set("throws implements instanceof default extends".split()),
-    "rust": set("let return if while loop match fn pub use struct enum impl trait mod const static unsafe break continue for type".split()),
-}
-_TOP = {
-    "java": set("if else for while do switch case default try catch finally return throw break continue new this super 0 s c".split()),
-    "rust": set("let if else for while loop match return break continue move ref mut where in as self 0 s c ( [ { . = => -> + - * / & | , ?".split()),
-}
-_CLOSED = set("let use mod static const type return".split())
-_LONE = ({"if", "(", ")"}, {"else"}, {"for", "(", ")"})
-
-
-class _Frame:
-    """An open bracket: what it holds, the statement begun in it, the number of the block and of its statements."""
-
-    __slots__ = ("kind", "ends", "seg", "block", "place", "ifs", "called")
-
-    def __init__(self, kind: str, ends: bool, block: int):
-        self.kind, self.ends, self.block = kind, ends, block
-        self.seg, self.place, self.ifs, self.called = [], 0, 0, False
-
-
-def statements(shapes: list[str], lang: str) -> tuple[set[str], list[tuple[int, int, str]], bool]:
-    """(pairs of classes across line ends that end no statement, clauses (block, place in it, keyword), whether a production is missing).
-
-    Brackets must nest, else nesting tells; what a macro of Rust holds is not judged.
+_SOFT = re.compile(r"(?:match|case)\Z")
+
+
+def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[str, str, list[tuple]]:
+    """(distinct pairs of codes, all brackets in order, statements (lvl, grp, run, holds, shape, indent)).
+
+    Levels and groups only say which tokens stand together; whether brackets nest is
+    for the windows to tell.
     """
-    joins: set[str] = set()
-    clauses: list[tuple[int, int, str]] = []
-    bad = False
-    blocks = 0
-    script = lang in ("javascript", "typescript")
-    starts, top = _STARTS.get(lang, set()), _TOP.get(lang, set())
-    stack = [_Frame("top", True, 0)]
-    calls: list[str] = []
-    first_go = True
-
-    def close(f: _Frame) -> None:
-        nonlocal bad, first_go
-        seg = f.seg
-        if not seg:
-            return
-        head = seg[0]
-        if f.kind in ("top", "block", "switch"):
-            ifs = seg.count("if")
-            if head == "else":
-                clauses.append((f.block, f.place, "elif" if f.ifs > 1 or ifs else "else"))
-                f.ifs += ifs - 1
-            else:
-                f.ifs = ifs
-                if head in ("catch", "finally") and lang != "rust" and lang != "go":
-                    clauses.append((f.block, f.place, head))
-                elif "try" in seg and lang not in ("rust", "go"):
-                    after = seg[seg.index("try") + 1 :]
-                    # resources need no clause; in a script without semicolons the clause may be in the same run
-                    clauses.append((f.block, f.place, "with" if after[:1] == ["("] or "catch" in after or "finally" in after else "try"))
-                elif ifs:
-                    clauses.append((f.block, f.place, "if"))
-            if head in ("case", "default") and seg[1:2] != ["void"] and f.kind != "switch" and lang != "rust" and (head == "case" or ":" in seg[1:2]):
-                bad = True
-        if f.kind == "top":
-            if lang == "go":
-                bad |= head not in ({"package"} if first_go else {"import", "func", "var", "const", "type"})
-                first_go = False
-            elif head in top and not (head == "default" and len(seg) > 2):
-                bad = True
-            elif lang == "rust" and head == "n" and "!" not in seg[:3] and seg[1:2] not in (["n"], ["::"], ["trait"]):
-                bad = True
-            elif lang == "java" and head == "n" and seg[1:2] in (["("], ["="], ["."]) and seg[-1] != "}" and not (seg[1] == "." and "n n" in " ".join(seg)):
-                bad = True
-        if lang == "go" and f.kind == "block":
-            bad |= head == "else" or seg.count("else") - sum(pair == ("else", "if") for pair in zip(seg, seg[1:])) > 1
-            bad |= head in ("if", "for", "switch", "select") and "{" not in seg or seg[:2] == ["n", "n"] or head == "package" or head == "import"
-        f.place += 1
-        seg.clear()
-
-    for shape in shapes:
-        line = shape.split(" ")[1:-1]
-        for k, t in enumerate(line):
-            f = stack[-1]
-            seg = f.seg
-            if not k and seg:  # across a line end
-                a = seg[-1]
-                if lang == "go":
-                    if a in _GO_ENDS:
-                        if f.kind in ("paren", "value"):
-                            bad = True
-                        elif f.kind != "loose":
-                            close(f)
-                elif f.kind == "macro":
-                    pass
-                elif seg[0] == "#" and a == "]" and len(seg) < 5 and lang == "rust":
-                    seg.clear()
-                elif seg[0] == "@":
-                    if seg[1:2] == ["n"] and not {*seg} - {"@", "n", ".", "(", ")"}:
-                        seg.clear()
-                elif script:
-                    if f.kind == "paren" and "@" not in seg and a not in ("}", ";", ",", "{") and t not in ("}", ";", ",", "{"):
-                        joins.add(f"{a} {t}")
-                elif a == "}":
-                    bad |= f.kind in ("top", "block") and (t in starts or t in ("n", "0", "s"))
-                elif a not in (";", ",", "{"):
-                    if t not in ("}", ";", ",", "{"):
-                        joins.add(f"{a} {t}")
-                    if lang == "rust":
-                        own = f.kind in ("top", "block") and a in _FULL and t in starts and not (t == "for" and "impl" in seg)
-                        bad |= own and seg[0] not in ("pub", "extern", "unsafe", "const", "async")
-                    elif f.kind in ("top", "block", "switch", "members") and (t in starts or t == "default" and a in ("break", "continue")):
-                        full = a in _FULL and (a != ")" or f.called)
-                        told = not _VALUE.isdisjoint(seg) or seg[0] in ("return", "throw", "break", "continue", "import", "package")
-                        bad |= a == ")" and f.called or full and told or a in ("break", "continue") or a == "*" and seg[0] == "import"
-                        bad |= a in ("++", "--") and len(seg) > 1 and seg[-2] in _FULL
-                        bad |= a == "n" and seg[-2:-1] in (["n"], [">"], ["]"], ["int"], ["long"], ["double"], ["boolean"]) and {"class", "interface"}.isdisjoint(seg)
-            if t in "([{":
-                before = seg[-1] if seg else ""
-                if f.kind == "macro" or lang == "rust" and (before == "!" or before == "n" and seg[-2:-1] == ["!"]):
-                    kind, ends = "macro", t == "{"
-                elif t != "{":
-                    kind, ends = ("block" if lang == "go" and before in ("import", "const", "var", "type") else "paren"), False
-                    if lang == "go" and kind == "block":
-                        kind = "members"
-                elif lang == "go":
-                    if before in ("struct", "interface"):
-                        kind = "members"
-                    elif before == ")" or not {"if", "for", "switch", "select", "func", "struct", "interface"}.isdisjoint(seg):
-                        kind = "switch" if not {"switch", "select"}.isdisjoint(seg) else "block" if before in (")", "else", "for", "n", "nil", "true", "0") and "func" in seg and "range" not in seg else "loose"
-                        if kind == "loose" and not {"if", "for", "else"}.isdisjoint(seg):
-                            kind = "inner"
-                    elif not seg or before in ("else", ";"):
-                        kind = "inner"
-                    else:
-                        kind = "value" if not _VALUE.isdisjoint(seg) or seg[0] == "return" or f.kind in ("paren", "value") else "loose"
-                    ends = False
-                else:
-                    told = not _VALUE.isdisjoint(seg) or seg[:1] in (["return"], ["throw"], ["new"], ["let"], ["const"], ["var"]) and seg[0] != "const" or f.kind in ("paren", "value")
-                    if lang == "rust":
-                        told = bool(seg) and (seg[0] == "let" or f.kind == "paren") or "use" in seg
-                        last = next((w for w in reversed(seg) if w in ("match", "struct", "enum", "union", "if", "fn", "impl", "use")), "")
-                        kind = {"match": "switch", "struct": "members", "enum": "members", "use": "members"}.get(last, "members" if before == "n" and f.kind == "paren" else "block")
-                        if before in ("n", ">") and last in ("", "fn") and "fn" not in seg and not {"for", "while", "mod", "trait", "unsafe", "loop"} & {*seg}:
-                            kind = "members"
-                    elif f.kind == "value" and before in ("", ","):
-                        kind = "value"
-                    elif "switch" in seg:
-                        kind = "switch"
-                    elif not {"class", "implements", "interface", "enum", "namespace", "module", "type"}.isdisjoint(seg) or "@" in seg and "interface" in seg:
-                        kind = "enum" if "enum" in seg else "members"
-                    elif before in (")", "=>", "->", "else", "try", "finally", "do", "catch", "static", "") or before == ":" and f.kind == "switch":
-                        kind = "members" if "new" in seg and before == ")" else "block"
-                    elif lang == "java" and before == "n" and "throws" in seg or lang == "typescript" and f.kind in ("members", "top") and before in ("n", ">", "]", "any", "}") and not told:
-                        kind = "block"
-                    else:
-                        kind, told = "value", told or before in ("=", "(", "[", ",", ":", "?", "]")
-                    ends = not told and kind != "value" and (before != "=>" or not seg)
-                calls.append(before)
-                seg.append(t)
-                blocks += 1
-                stack.append(_Frame(kind, ends, blocks))
-            elif t in ")]}":
-                if len(stack) == 1:
-                    return set(), [], False
-                if seg and f.kind in ("block", "switch", "members") and t == "}":
-                    if lang == "java":
-                        bad |= seg[-1] not in (":", "}") or not _VALUE.isdisjoint(seg)
-                    elif lang == "rust" and f.kind == "block":
-                        bad |= seg[0] in _CLOSED - {"return", "const", "type"}
-                    elif script and f.kind == "block":
-                        bad |= {*seg} in _LONE and seg[-1] in (")", "else") and seg.count("(") < 2
-                close(f)
-                stack.pop()
-                before = calls.pop()
-                up = stack[-1]
-                up.seg.append(t)
-                up.called = t == ")" and before in _CALLED
-                if t == "}" and lang != "go" and (f.ends or lang == "rust" and up.kind in ("switch", "members")):
-                    close(up)
-            elif t == ";" or t == "," and (f.kind == "paren" or lang == "rust" and f.kind in ("members", "switch")):
-                if f.kind != "macro":
-                    if t == ";" and not seg and f.ifs and f.kind == "block" and lang == "java":
-                        f.ifs = 0
-                        f.place += 1
-                    if lang == "go" and f.kind not in ("paren", "value") and not {"if", "for", "switch"}.isdisjoint(seg):
-                        seg.append(t)
-                    else:
-                        close(f)
-                else:
-                    seg.clear()
-            else:
-                seg.append(t)
-    f = stack[0]
-    if len(stack) > 1:
-        return set(), [], False
-    if f.seg:
-        bad |= lang == "java" or lang == "rust" and (f.seg[0] in _CLOSED or f.seg[0] == "pub" and not _CLOSED.isdisjoint(f.seg[:5])) or script and {*f.seg} in _LONE
-        close(f)
-    return joins, clauses, bad
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files -> rows (row_id, file_id, lang, kind, n, level, what, flag)."""
-    from pyspark import TaskContext
-
-    row_id = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40  # repeated rows of a file keep apart
-    lexers = {x: (_lexer(x), frozenset(KEYWORDS[x].split()) | frozenset(LITERALS[x].split())) for x in KEYWORDS}
-    for pdf in batches:
-        out = []
-        for file_id, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["text"]):
-            text = text.replace("\r\n", "\n")
-            row_id += 1
-            if not text.strip():
-                continue
-            if lang == "toml":
-                if not toml_covered(text):
-                    out.append((row_id, file_id, lang, "flag", 0, 0, "line", False))
-                continue
-            if lang == "json":
-                shapes, whole = lex_json(text)
-                if not whole:
-                    out.append((row_id, file_id, lang, "flag", 0, 0, "value", False))
-                out += [(row_id, file_id, lang, "shape", 0, 0, s, False) for s in set(shapes)]
-                continue
-            shapes, events, logical = lex(text, lang, *lexers[lang])
-            out += [(row_id, file_id, lang, "shape", 0, 0, s, False) for s in set(shapes)]
+    tokens = pattern.findall("\n" + text)
+    codes = [classes[t] for t in tokens]
+    indents = []
+    if lang == "python":
+        for k, t in enumerate(tokens):
+            if t[0] == "\n":
+                indents.append(len(t[t.rfind("\n") + 1 :].expandtabs(8)))
+                if k + 2 < len(tokens) and tokens[k + 1] in ("match", "case"):  # soft keywords at a line's begin
+                    after = tokens[k + 2]
+                    name = after in "= . : , ) += -= == != -> |".split() or after[0] == "\n" or tokens[k + 1] == "match" and after in "(["
+                    codes[k + 1] = _C["n"] if name else _C[tokens[k + 1]]
+    elif lang == "java":
+        codes = [_C["class"] if t == "record" and codes[k + 1 : k + 2] == [_C["n"]] else c for k, (t, c) in enumerate(zip(tokens, codes))] if "record" in text else codes
+    stream = "".join(codes)
+    if lang in _IDLE:
+        stream = _IDLE[lang].sub("", stream)
+    elif lang != "python":
+        stream = stream.replace("\n", "")
+    level, stack, out, brackets, flat = _Level("top", 0), [], [], [], []
+    groups, at, line, prev, prev2 = 0, 0, 0, "", ""
+    telling, kinds, rust, brace = _TELLING.get(lang), _KIND.get(lang), lang == "rust", lang not in ("python", "json")
+    comma, semicolon, close_brace = _C[","], _C[";"], _C["}"]
+
+    def cut() -> None:
+        if level.parts:
+            out.append((len(stack), level.grp, level.run, level.holds, "".join(level.parts), level.indent))
+            level.parts = []
+        level.run += 1
+
+    for m in _STOPS.finditer(stream):
+        stop, end = m.group(), m.start()
+        if end > at:
+            part = stream[at:end]
+            level.parts.append(part)
+            flat.append(part)
+            prev, prev2 = part[-1], part[-2] if len(part) > 1 else prev
+            if telling:
+                for t in telling.finditer(part):
+                    k = t.group()
+                    if not (rust and k == _C["impl"] and (t.start() or len(level.parts) > 1) and part[t.start() - 1 : t.start()] not in (_C["unsafe"], _C["pub"])):
+                        level.kw = k
+        at = m.end()
+        if stop == "\n":
             if lang == "python":
-                out += [(row_id, file_id, lang, "line", n, indent, first if first in _PY_HEAD else "", colon) for n, indent, first, colon in logical]
+                if not stack:
+                    cut()
+                    level.indent = indents[line] if line < len(indents) else 0
+                    flat.append(_C["^"])
+                line += 1
             else:
-                joins, clauses, bad = statements(shapes, lang)
-                out += [(row_id, file_id, lang, "shape", 0, 0, s, False) for s in joins.difference(shapes)]
-                out += [(row_id, file_id, lang, "clause", place, block, what, False) for block, place, what in clauses]
-                if bad:
-                    out.append((row_id, file_id, lang, "flag", 0, 0, "statement", False))
-            out += [(row_id, file_id, lang, "bracket", n, 0, b, False) for n, b in events]
-        yield pd.DataFrame(out, columns=["row_id", "file_id", "lang", "kind", "n", "level", "what", "flag"])
-
-
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suspects that the standard library's parser rejects."""
-    import ast
-    import json
-    import tomllib
-
-    parse = {"python": ast.parse, "json": json.loads, "toml": tomllib.loads}
-    for pdf in batches:
-        bad = []
-        for file_id, lang, text in zip(pdf["file_id"], pdf["lang"], pdf["text"]):
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    if text.strip():
-                        parse[lang](text)
-            except (SyntaxError, ValueError):
-                bad.append(file_id)
-            except (RecursionError, MemoryError):
-                pass
-        yield pd.DataFrame({"file_id": bad})
+                if level.holds in _CUTS:
+                    cut()
+                    level.kw = ""
+                    flat.append("\n")
+                elif lang == "go" and level.holds in ("paren", "value"):
+                    level.parts.append("\n")
+                    flat.append("\n")
+                else:
+                    flat.append("\n")
+            continue
+        flat.append(stop)
+        if stop in _OPENS:
+            kind = holds(lang, _OPENS[stop], prev, prev2, level.kw, not level.parts)
+            brackets.append(_OPENS[stop])
+            level.parts.append(stop)
+            if stop == _C["{"]:
+                level.kw = ""
+            stack.append(level)
+            groups += 1
+            level = _Level(kind, groups)
+        elif stop in _CLOSES:
+            brackets.append(_CLOSE_OF[stop])
+            if level.parts and level.parts[-1] == "\n" and brace:
+                level.parts[-1] = g.CODES[g.FAULT]  # a value ends with its line: its comma is missing
+            cut()
+            if stack:
+                level = stack.pop()
+            level.parts.append(stop)
+            if stop == close_brace:
+                level.kw = ""
+                if lang not in ("go", "python", "json") and level.holds in _CUTS:
+                    cut()
+        elif stop == semicolon:
+            level.parts.append(stop)
+            if lang not in ("go", "python") and level.holds in _CUTS:
+                cut()
+            level.kw = ""
+        else:
+            level.parts.append(stop)
+            if rust and level.holds in ("fields", "match"):
+                cut()
+        prev, prev2 = stop, prev
+    if at < len(stream):
+        level.parts.append(stream[at:])
+        flat.append(stream[at:])
+    cut()
+    while stack:
+        level = stack.pop()
+        cut()
+    whole = "".join(flat) if lang == "python" else _C["^"] + "".join(flat)
+    return "".join({a + b for a, b in zip(whole, whole[1:]) if a != "\n" and b != "\n" and b != _C["^"]}), "".join(brackets), out
+
+
+_CLOSE_OF = {_C[t]: t for t in g.CLOSE}
+
+
+def lex_toml(text: str, pattern: re.Pattern) -> tuple[str, str, list[tuple]]:
+    """Like ``lex``; shapes keep the keys, so that repeated ones are seen, and ``indent`` numbers the table."""
+    level, stack, out, brackets = _Level("top", 0), [], [], []
+    groups, table, before, new = 0, 0, "", True
+
+    def cut() -> None:
+        if level.parts:
+            out.append((len(stack), level.grp, level.run, level.holds, " " + " ".join(level.parts) + " ", table))
+            level.parts = []
+        level.run += 1
+
+    for t in pattern.findall(text):
+        c = t[0]
+        if c == "#":
+            continue
+        if c == "\n":
+            new = True
+            if not stack:
+                cut()
+            continue
+        if c == "[" or c == "{":
+            kind = "table" if c == "{" else "header" if new and not stack or before == "[" and len(stack) == 1 and level.holds == "header" and not level.parts else "array"
+            table += kind == "header" and not stack
+            level.parts.append(c)
+            brackets.append(c)
+            stack.append(level)
+            groups += 1
+            level = _Level(kind, groups)
+        elif c == "]" or c == "}":
+            brackets.append(c)
+            cut()
+            if stack:
+                level = stack.pop()
+            level.parts.append(c)
+        elif c in "\"'":
+            level.parts.append(g.FAULT if len(t) == 1 else "S" if t[:3] in ('"""', "'''") else "s:" + t[1:-1].replace(" ", "\u00b7").replace("\t", "\u00b7"))
+        elif c in "=,":
+            level.parts.append(c)
+        elif _TOML_VALUE.fullmatch(t):
+            level.parts.append(("b:" if _TOML_KEY.fullmatch(t) else "v:") + t.replace(" ", "\u00b7"))
+        else:
+            level.parts.append("k:" + t if _TOML_KEY.fullmatch(t) else g.FAULT)
+        before, new = c, False
+    cut()
+    while stack:
+        level = stack.pop()
+        cut()
+    return "", "".join(brackets), out
 
 
-def pair_table(spark: SparkSession) -> DataFrame:
-    """(lang, a, b): the permissible pairs of every language; its size is fixed."""
-    rows = [(lang, a, b) for lang in [*KEYWORDS, "json"] for a, b in sorted(permissible_pairs(lang))]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "a", "b"]))
+_TOML_VALUE, _TOML_KEY = re.compile(g.TOML_VALUE), re.compile(g.TOML_KEY)
+_ROWS = "row long, file_id {kind}, lang string, pairs string, brackets string, statements array<struct<lvl:int,grp:int,run:int,holds:string,shape:string,indent:int>>"
 
 
-def suspects(files: DataFrame) -> DataFrame:
-    """Distinct (file_id, lang) that one of the checks flags, from rows (file_id, lang, text)."""
-    spark = files.sparkSession
+def lexed(files: DataFrame) -> DataFrame:
+    """(row, file_id, lang, pairs, brackets, statements) of every file, from rows (file_id, lang, text)."""
     kind = files.schema["file_id"].dataType.simpleString()
-    rows = files.mapInPandas(_rows, f"row_id long, file_id {kind}, lang string, kind string, n int, level int, what string, flag boolean")
-    rows = cut_lineage(rows)
-    shapes = rows.filter("kind = 'shape'").select("lang", F.col("what").alias("shape")).distinct()
-    classes = F.split("shape", " ")
-    last = F.size("classes") - 1
-    zipped = F.zip_with(F.slice("classes", 1, last), F.slice("classes", 2, last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = shapes.withColumn("classes", classes).select("lang", "shape", F.explode(F.array_distinct(zipped)).alias("p"))
-    pairs = pairs.select("lang", "shape", "p.a", "p.b").filter("not (lang = 'json' and (a = '^' or b = '$'))")
-    wrong = pairs.join(F.broadcast(pair_table(spark)), ["lang", "a", "b"], "left_anti").select("lang", "shape")
-
-    def produce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[not covered(s, x) for s, x in zip(pdf["shape"], pdf["lang"])]]
-
-    wrong = wrong.unionByName(shapes.mapInPandas(produce, "lang string, shape string")).distinct()
-    # a shape that a third of all files share would meet in one task: salted on one side, repeated on the other
-    salted = wrong.select("lang", F.col("shape").alias("what"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    held = rows.filter("kind = 'shape'").withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))
-    by_shape = held.join(salted, ["lang", "what", "salt"], "left_semi").select("file_id", "lang")
-
-    order = Window.partitionBy("row_id").orderBy("n")
-    bracket = rows.filter("kind = 'bracket'")
-    opens = F.col("what").isin(OPEN)
-    bracket = bracket.withColumn("depth", F.sum(F.when(opens, 1).otherwise(-1)).over(order) + F.when(opens, 0).otherwise(1))
-    level = Window.partitionBy("row_id", "depth").orderBy("n")
-    closing = F.translate("what", "([{", ")]}")
-    bracket = bracket.select("file_id", "lang", "depth", opens.alias("opens"), closing.alias("closing"), F.lead("what").over(level).alias("next"))
-    by_nesting = bracket.filter((F.col("depth") < 1) | (F.col("opens") & ~F.col("next").eqNullSafe(F.col("closing")))).select("file_id", "lang")
-
-    line = rows.filter("kind = 'line'")
-    same = Window.partitionBy("row_id", "level").orderBy("n")
+    item = pa.struct([("lvl", pa.int32()), ("grp", pa.int32()), ("run", pa.int32()), ("holds", pa.string()), ("shape", pa.string()), ("indent", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40  # repeated rows of a file keep apart
+        tools = {x: (g.token_pattern(x), _Classes(x)) for x in g.LANGUAGES.values()}
+        for batch in batches:
+            ids, out = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                row += 1
+                ids.append(row)
+                text = text.replace("\r\n", "\n")
+                out.append(("", "", []) if not text.strip("\ufeff \t\r\n\f") else lex_toml(text, tools[lang][0]) if lang == "toml" else lex(text, lang, *tools[lang]))
+            flat = [r for o in out for r in o[2]]
+            columns = list(zip(*flat)) if flat else [()] * 6
+            offsets = pa.array([0, *accumulate(len(o[2]) for o in out)], pa.int32())
+            statements = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, item)], fields=list(item)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("file_id"), batch.column("lang"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), statements], names=["row", "file_id", "lang", "pairs", "brackets", "statements"])
+
+    return files.select("file_id", "lang", "text").mapInArrow(rows, _ROWS.format(kind=kind))
+
+
+def pair_faults(lexed: DataFrame) -> DataFrame:
+    """(file_id, lang) of files with an adjacent pair of classes that is not permitted."""
+    pairs = lexed.filter("pairs <> ''").select("file_id", "lang", F.explode(F.regexp_extract_all("pairs", F.lit("(?s).."), 0)).alias("pair"))
+    return pairs.join(F.broadcast(pair_table(lexed.sparkSession)), ["lang", "pair"], "left_anti").select("file_id", "lang")
+
+
+def nesting_faults(lexed: DataFrame) -> DataFrame:
+    """(file_id, lang) of files whose brackets do not nest, from windows over the rows of all brackets."""
+    rows = lexed.filter("brackets <> ''").select("row", "file_id", "lang", F.posexplode(F.split("brackets", "")).alias("n", "what")).filter("what <> ''")
+    opens = F.col("what").isin(g.OPEN)
+    order = Window.partitionBy("row").orderBy("n")
+    rows = rows.select("row", "file_id", "lang", "n", "what", (F.sum(F.when(opens, 1).otherwise(-1)).over(order) + F.when(opens, 0).otherwise(1)).alias("depth"))
+    level = Window.partitionBy("row", "depth").orderBy("n")
+    rows = rows.select("file_id", "lang", "depth", opens.alias("opens"), F.translate("what", "([{", ")]}").alias("closing"), F.lead("what").over(level).alias("next"))
+    return rows.filter((F.col("depth") < 1) | (F.col("opens") & ~F.col("next").eqNullSafe(F.col("closing")))).select("file_id", "lang")
+
+
+def _like(pattern: str) -> Column:
+    """Whether the shape matches a pattern over classes."""
+    return F.col("shape").rlike(g.coded(pattern))
+
+
+def _times(token: str) -> Column:
+    """How often a class stands in the shape."""
+    return F.length("shape") - F.length(F.replace("shape", F.lit(g.CODES[token]), F.lit("")))
+
+
+def _produced() -> Column:
+    """Whether a production covers the shape; shapes of other brackets are left to the pairs."""
+    out = F.lit(True)
+    for (lang, kind), pattern in g.PRODUCTIONS.items():
+        out = F.when((F.col("lang") == lang) & (F.col("holds") == kind), F.col("plain").rlike(rf"\A(?:{pattern})\z")).otherwise(out)
+    return out
+
+
+def _json_fault() -> Column:
+    value = r"(?:s |0 |l |\{ \} |\[ \] )"
+    whole = F.concat(F.col("shape"), F.lit(g.CODES[","]))
+    pairs = F.regexp_replace(whole, g.coded(f"s : {value}, "), "")
+    values = F.regexp_replace(whole, g.coded(f"{value}, "), "")
+    return F.when(F.col("lvl") == 0, ~_like(f"^{value}$")).when(F.col("holds") == "object", pairs != "").otherwise(values != "")
+
+
+def _toml_fault() -> Column:
+    key, value = r"(?:[kbs]:\S+(?: s:\S+)*)", r"(?:[sbv]:\S+|S|\[ \]|\{ \})"
+    whole = F.concat(F.regexp_replace("shape", " , $", " "), F.lit(", "))
+    inline = F.regexp_replace(F.concat(F.col("shape"), F.lit(", ")), rf" {key} = {value} ,(?= )", "")
+    return (
+        F.when(F.col("lvl") == 0, ~F.col("shape").rlike(rf"^ (?:\[ \]|{key} = {value}) $"))
+        .when(F.col("holds") == "header", ~F.col("shape").rlike(rf"^ (?:\[ \]|{key}) $"))
+        .when(F.col("holds") == "table", inline != " ")
+        .otherwise(F.regexp_replace(whole, rf" {value} ,(?= )", "") != " ")
+    )
+
+
+def statement_rows(lexed: DataFrame) -> DataFrame:
+    """(row, file_id, lang, lvl, grp, run, holds, shape, indent): a row for each statement."""
+    return lexed.select("row", "file_id", "lang", F.explode("statements").alias("s")).select("row", "file_id", "lang", "s.*")
+
+
+def shape_faults(statements: DataFrame) -> DataFrame:
+    """The statements that no production covers."""
+    lang, shape = F.col("lang"), F.col("shape")
+    plain = F.when(lang == "python", F.regexp_replace(shape, g.coded("lambda " + g._x(":") + ": "), g.CODES["not"])).otherwise(shape)
+    rows = statements.withColumn("plain", plain)
+    made = ~_produced()
+    for name, pattern in g.NEVER.items():
+        made = made | ((lang == name) & F.col("holds").isin("top", "block", "members", "switch") & shape.rlike(pattern))
+    made = made | (F.col("holds").isin("paren", "value") & lang.isin("java", "go", *g.SCRIPT) & (_times(";") > 0)) | (_times(g.FAULT) > 0)
+    return rows.filter(F.when(lang == "json", _json_fault()).when(lang == "toml", _toml_fault()).otherwise(made)).drop("plain")
+
+
+def clause_faults(statements: DataFrame) -> DataFrame:
+    """Statements that lack the one before or after them which they need, by windows over the statements of a block."""
+    lang, shape = F.col("lang"), F.col("shape")
+    rows = statements.filter(lang.isin("rust", "java", *g.SCRIPT) & F.col("holds").isin("top", "block", "members", "switch", "items", "any"))
+    group = Window.partitionBy("row", "grp").orderBy("run")
+    rows = rows.withColumn("head", F.substring("shape", 1, 1))
+    is_ = lambda column, *tokens: F.col(column).isin([g.CODES[t] for t in tokens])
+    # an else takes an if of the run of if and else statements it stands in
+    other = is_("head", "else")
+    ifs = F.when(lang == "rust", _times("if") + _times("let") - F.when(other, 1).otherwise(0)).otherwise(_times("if") - _times("else"))
+    rows = rows.select(
+        "*", ifs.alias("ifs"), F.sum(F.when(other, 0).otherwise(1)).over(group).alias("chain"), F.lead("head").over(group).alias("next_head"),
+        F.lead("shape").over(group).alias("next_shape"), F.lag("shape").over(group).alias("last_shape"),
+    )
+    balance = F.sum("ifs").over(Window.partitionBy("row", "grp", "chain").orderBy("run"))
+    java_like = lang.isin("java", *g.SCRIPT)
+    blocks = F.col("holds").isin("top", "block", "switch", "any")
+    before, after = F.col("last_shape"), F.col("next_shape")
+    like = lambda column, pattern: F.coalesce(column.rlike(g.coded(pattern)), F.lit(False))
+    lost = other & (F.col("balance") < 0)
+    lone_try = java_like & blocks & _like(r"try \{ \} $") & ~F.coalesce(is_("next_head", "catch", "finally"), F.lit(False))
+    lone_catch = java_like & blocks & _like(r"^(?:catch (?:\( \) )?|finally )\{ \} $") & ~like(before, r"try (?:\( \) )?\{ \} $|^catch (?:\( \) )?\{ \} $")
+    lone_do = java_like & blocks & _like(r"^do \{ \} $") & ~like(after, r"^while \( \) (?:; )?$")
+    more, joined = F.lit(False), F.lit(False)
+    for name, pattern in g.NEEDS_MORE.items():
+        value = (lang == name) & F.col("holds").isin("top", "block", "members", "switch", "items") & shape.endswith(g.CODES["}"]) & shape.rlike(pattern)
+        tail = F.lit(False) if name == "java" else F.col("next_head").isNull() & ~_like("^(?:let|(?:pub )?(?:use|const|static)) ")
+        more = more | (value & ~F.coalesce(is_("next_head", *g.GOES_ON[name].split()), F.lit(False)) & ~tail & ~_like(r"-> \{ \} $|^(?:if|while|for|match) \S+*= "))
+    weak = "( [ { ; - * & .. | < else :: + / from as of ] } in > extends implements".split()
+    for name, words in g.GOES_ON.items():
+        goes = (lang == name) & F.col("holds").isin("top", "block", "members", "items") & is_("head", *[w for w in words.split() if w not in weak])
+        joined = joined | (goes & ~F.coalesce(before.endswith(g.CODES["}"]), F.lit(False)))
+    whole = _like(r"(?:;|\}) $")
+    open_end = (lang == "java") & F.col("holds").isin("top", "block", "members") & ~whole
+    early = (lang == "rust") & (F.col("holds") == "block") & ~whole & F.col("next_head").isNotNull()
+    late = (lang == "rust") & F.col("holds").isin("top", "items") & ~whole
+    return rows.withColumn("balance", balance).filter(lost | lone_try | lone_catch | lone_do | more | joined | open_end | early | late)
+
+
+def line_faults(statements: DataFrame) -> DataFrame:
+    """(file_id, lang) of Python files whose lines do not nest, by windows over their lines."""
+    line = statements.filter("lang = 'python' and lvl = 0")
+    header = F.col("shape").endswith(g.CODES[":"])
+    first = F.regexp_extract("shape", f"^{g.CODES['async']}?(.)", 1)
+    what = F.lit("")
+    for word in ("if", "elif", "else", "for", "while", "try", "except", "finally"):
+        what = F.when(first == g.CODES[word], word).otherwise(what)
+    order = Window.partitionBy("row").orderBy("run")
+    same = Window.partitionBy("row", "indent").orderBy("run")
+    line = line.select("row", "file_id", "lang", "run", "indent", header.alias("flag"), what.alias("what"))
     line = line.select(
-        "file_id", "lang", "n", "level", "what", "flag", F.lead("level").over(order).alias("below"), F.lag("flag").over(order).alias("headed"), F.lag("level").over(order).alias("above"),
-        F.lead("what").over(same).alias("follows"), F.lag("what").over(same).alias("leads"),
+        "*", F.lead("indent").over(order).alias("below"), F.lag("indent").over(order).alias("above"), F.lag("flag").over(order).alias("headed"), F.lead("what").over(same).alias("follows"), F.lag("what").over(same).alias("leads"),
     )
-    empty = F.col("flag") & ~F.coalesce(F.col("below") > F.col("level"), F.lit(False))
-    deeper = (F.coalesce(F.col("level") > F.col("above"), F.col("level") > 0)) & ~F.coalesce("headed", F.lit(False))
+    empty = F.col("flag") & ~F.coalesce(F.col("below") > F.col("indent"), F.lit(False))
+    deeper = F.coalesce(F.col("indent") > F.col("above"), F.col("indent") > 0) & ~F.coalesce("headed", F.lit(False))
     loose = (F.col("what") == "try") & ~F.coalesce(F.col("follows").isin("except", "finally"), F.lit(False))
-    clause = {"except": ["try", "except"], "elif": ["if", "elif"], "else": ["if", "elif", "for", "while", "try", "except"], "finally": ["try", "except", "else"]}
     lost = F.lit(False)
-    for k, lead in clause.items():
+    for k, lead in {"except": ["try", "except"], "elif": ["if", "elif"], "else": ["if", "elif", "for", "while", "try", "except"], "finally": ["try", "except", "else"]}.items():
         lost = lost | ((F.col("what") == k) & ~F.coalesce(F.col("leads").isin(lead), F.lit(False)))
-    by_line = line.filter(empty | deeper | loose | lost).select("file_id", "lang")
-    block = Window.partitionBy("row_id", "level").orderBy("n")
-    near = rows.filter("kind = 'clause'").select(
-        "file_id", "lang", "what", F.when(F.lag("n").over(block) == F.col("n") - 1, F.lag("what").over(block)).alias("leads"), F.when(F.lead("n").over(block) == F.col("n") + 1, F.lead("what").over(block)).alias("follows")
-    )
-    orphan = (F.col("what") == "try") & ~F.coalesce(F.col("follows").isin("catch", "finally"), F.lit(False))
-    for k, lead in {"else": ["if", "elif"], "elif": ["if", "elif"], "catch": ["try", "with", "catch"], "finally": ["try", "with", "catch"]}.items():
-        orphan = orphan | ((F.col("what") == k) & ~F.coalesce(F.col("leads").isin(lead), F.lit(False)))
-    by_clause = near.filter(orphan).select("file_id", "lang")
-    told = rows.filter("kind = 'flag'").select("file_id", "lang")
-    return by_shape.unionByName(by_nesting).unionByName(by_line).unionByName(by_clause).unionByName(told).distinct()
+    return line.filter(empty | deeper | loose | lost).select("file_id", "lang")
+
+
+def dedent_faults(lexed: DataFrame) -> DataFrame:
+    """(file_id, lang) of Python files that go back to an indent which no open block has: a fold over the indents of a file."""
+    line = lexed.filter("lang = 'python'").select("file_id", "lang", F.transform(F.filter("statements", lambda s: s["lvl"] == 0), lambda s: s["indent"]).alias("_l"))
+    zero = F.struct(F.array(F.lit(0)).alias("open"), F.lit(False).alias("bad"))
+
+    def step(state: Column, x: Column) -> Column:
+        kept = F.filter(state["open"], lambda o: o <= x)
+        top = F.element_at(kept, -1)
+        back = F.size(kept) < F.size(state["open"])
+        return F.struct(F.when(top == x, kept).otherwise(F.concat(kept, F.array(x))).alias("open"), (state["bad"] | (back & (top != x))).alias("bad"))
+
+    return line.filter(F.aggregate("_l", zero, step)["bad"]).select("file_id", "lang")
+
+
+def repeated_keys(statements: DataFrame) -> DataFrame:
+    """(file_id, lang) of TOML files in which a table, or a key of a table, comes twice."""
+    single = F.col("shape").rlike(r"^ [kbs]:") & (F.col("holds") == "header") & (F.col("lvl") == 1)
+    key = F.when(single, F.concat(F.lit("table"), F.col("shape"))).when((F.col("lvl") == 0) & F.col("shape").contains(" = "), F.concat(F.col("indent").cast("string"), F.substring_index("shape", " = ", 1)))
+    rows = statements.filter("lang = 'toml'").withColumn("_k", F.regexp_replace(key, "(?<= )[kbs]:", "")).filter("_k is not null")
+    return rows.groupBy("row", "file_id", "lang", "_k").count().filter("count > 1").select("file_id", "lang")
 
 
 def with_language(files: DataFrame) -> DataFrame:
-    """Distinct (file_id, repo, lang, text) of the files that count."""
-    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    """(file_id, repo, lang, text) of the files that count; repeated rows are kept."""
+    table = F.create_map(*[F.lit(x) for kv in g.LANGUAGES.items() for x in kv])
     rows = files.select("file_id", "repo", F.try_element_at(table, extension(F.col("relative_path"))).alias("lang"), "text")
     return rows.filter("file_id is not null and lang is not null and text is not null")
 
 
+def checks(lexed: DataFrame) -> dict[str, DataFrame]:
+    """(file_id, lang) of the files that each check flags, files as often as they have faults."""
+    statements = statement_rows(lexed)
+    return {
+        "pairs": pair_faults(lexed), "nesting": nesting_faults(lexed), "productions": shape_faults(statements).select("file_id", "lang"), "clauses": clause_faults(statements).select("file_id", "lang"),
+        "lines": line_faults(statements), "dedents": dedent_faults(lexed), "keys": repeated_keys(statements),
+    }
+
+
 def invalid_files(files: DataFrame) -> DataFrame:
     """Distinct (file_id, lang) of files that do not parse."""
-    rows = with_language(files).select("file_id", "lang", "text")
-    flagged = suspects(rows)
-    sure = flagged.filter(~F.col("lang").isin(CONFIRMED)).select("file_id", "lang")
-    doubt = rows.filter(F.col("lang").isin(CONFIRMED)).join(flagged.select("file_id"), "file_id", "left_semi").select("file_id", "lang", "text")
-    kind = rows.schema["file_id"].dataType.simpleString()
-    confirmed = doubt.mapInPandas(_confirm, f"file_id {kind}").distinct()
-    return sure.unionByName(confirmed.join(flagged, "file_id").select("file_id", "lang")).distinct()
+    found = list(checks(keep(lexed(with_language(files)))).values())
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def rates(files: DataFrame) -> DataFrame:
