@@ -57,7 +57,7 @@ FAULT = "E"
 GO_ENDS = "n 0 s c ) ] } ++ -- true false nil iota break continue return fallthrough".split()
 #: Line ends of JavaScript and TypeScript end a statement between one of the first and none of the second.
 SCRIPT_ENDS = "n 0 s c ) ] } ++ -- true false null undefined this super break continue return debugger any from of get set type".split()
-SCRIPT_GOES_ON = ". ?. ( [ + - * ** / % & | ^ << >> >>> && || ?? = += -= *= **= /= %= &= |= ^= <<= >>= >>>= &&= ||= ??= => ? : , ; ) ] } == === != !== < > <= >= in instanceof of as satisfies extends implements { else catch finally from".split()
+SCRIPT_GOES_ON = ". ?. ( [ + - * ** / % & | ^ << >> >>> && || ?? = += -= *= **= /= %= &= |= ^= <<= >>= >>>= &&= ||= ??= => ? : , ; ) ] } == === != !== < > <= >= in instanceof of as satisfies extends implements { from".split()
 
 
 def permissible_pairs(lang: str) -> set[tuple[str, str]]:
@@ -82,7 +82,7 @@ def permissible_pairs(lang: str) -> set[tuple[str, str]]:
     out |= set(product(["^"], [*begins, *infix, *postfix, *words, *CLOSE, ",", ";", ":"]))
     if lang == "python":
         out -= set(product(["^"], [",", ":", *CLOSE, "."]))
-        out |= {("s", "s"), (".", "..."), ("import", "*"), ("^", "@"), (".", "."), ("from", "."), (".", "import"), ("...", "import"), ("from", "..."), (":", ":"), ("*", ","), ("/", ","), ("/", ")"), (",", "/"), ("except", "*")}
+        out |= {("s", "s"), (".", "..."), ("import", "*"), ("^", "@"), (".", "."), ("from", "."), (".", "import"), ("...", "import"), ("from", "..."), (":", ":"), ("*", ","), ("/", ","), ("/", ")"), (",", "/"), ("except", "*"), (",", ":"), ("^", "type"), ("type", "n")}
     if lang in ("go", "java"):  # a type before or after its name
         out |= set(product(["n", "]", "}", ">", ">>", "?", *(["*"] if lang == "go" else [])], ["n"])) | {(")", "n"), ("...", "n"), ("}", "else")}
     if lang == "go":
@@ -92,12 +92,12 @@ def permissible_pairs(lang: str) -> set[tuple[str, str]]:
     if lang == "java":
         out |= {(".", "*"), (">", "("), ("?", ">"), ("?", "extends"), ("?", "super"), (")", "s"), (")", "0"), (")", "c"), (")", "!"), (")", "("), ("<", ">"), ("]", "{"), ("->", "{"), ("::", "new"), (".", "class"), (">", "void")}
         out |= {(k, "[") for k in words} | {(k, ".") for k in ("int", "long", "double", "float", "boolean", "byte", "char", "short")} | {(k, "...") for k in words} | {(k, ">") for k in words} | set(product([">", "]"], words))
-        out |= set(product([")"], literals)) | {("new", "n"), ("-", "-")} | set(product(["&"], ["n"])) | {("default", "->"), ("}", "("), ("super", "n")}
+        out |= set(product([")"], literals)) | {("new", "n"), ("-", "-")} | set(product(["&"], ["n"])) | {("default", "->"), ("}", "("), ("super", "n"), ("<", "?"), ("(", ";"), ("n", "interface"), ("n", "class")}
         out -= {("import", "{"), ("import", "s"), ("import", "("), ("package", "s")} | set(product(["class", "interface", "enum"], ["{", "(", "[", "0", "s", "<"]))
     if lang == "rust":
         out |= {("!", "["), ("!", "("), ("!", "{"), ("!", "n"), ("|", "|"), ("n", "!"), ("'", "n"), ("c", "n"), (">", ">"), (">", "{"), ("<", "'"), ("<", "<"), ("&", "'"), ("&", "mut"), ("*", "const"), ("*", "mut"), ("|", "{"), ("||", "{"), ("|", "n"), ("|", "->"), ("=>", "{"), ("#", "["), ("#", "!"), ("<", ">"), ("_", "_"), ("..", "}"), ("..", ")"), ("..", "]"), ("?", ";"), ("::", "<"), ("::", "{"), ("::", "*"), ("]", "pub"), (">", "("), (",", "|"), ("->", "!"), ("(", "|")}
         out |= {(t, "'") for t in ("<", "&", "+", ",", ":", "(", "=")} | set(product([">", "]"], words)) | set(product(["'"], ["n", "static", "mut", "dyn"])) | {("crate", ")"), ("$", "n")}
-        out |= {(a, b) for a in (">", ">>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "::", "]", "where", "for", "+", "?", ".", "|", "->")} | {("pub", "("), ("'", ":"), ("n", "'")} | {(x, "=>") for x in ends} | {("|", "&"), ("|", "_"), (",", "="), ("!", ";"), ("!", ",")}
+        out |= {(a, b) for a in (">", ">>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "::", "]", "where", "for", "+", "?", ".", "|", "->")} | {("pub", "("), ("'", ":"), ("n", "'")} | {(x, "=>") for x in ends} | {("|", "&"), ("|", "_"), (",", "="), ("!", ";"), ("!", ",")} | {(x, "$") for x in "{ ( [ , => ; :".split()}
         out -= set(product(["fn", "struct", "enum", "trait", "mod", "type"], ["{", "[", "0", "s"])) | set(product(["struct", "enum", "trait", "mod"], ["("]))
     if lang in SCRIPT:
         out |= {(x, "n") for x in context} | {("!", "!"), ("=>", "{"), ("function", "*"), ("yield", "*"), ("import", "*"), ("export", "*"), ("*", "as"), ("n", "s"), ("?", "."), (")", "n"), (")", "s"), (")", "["), (")", "!"), (")", "++"), (")", "0"), ("}", "n"), ("}", ")"), ("/", ")"), ("import", "s"), ("async", "("), ("*", "n"), ("*", "["), ("for", "("), ("for", "await"), ("n", "=>"), ("*", "from"), ("static", "#"), ("static", "*"), ("static", "["), ("async", "*"), ("try", "{"), ("finally", "{"), ("catch", "{")}
@@ -105,7 +105,7 @@ def permissible_pairs(lang: str) -> set[tuple[str, str]]:
         out -= {("n", "s")} | set(product(["function"], ["{", "[", "0", "s"]))
     if lang == "typescript":
         out |= {("?", ":"), ("!", ":"), ("!", "."), ("!", ";"), ("!", ")"), ("!", "["), ("!", ","), (":", "|"), ("=", "|"), ("^", "|"), ("^", "&"), ("-", "?"), ("+", "?"), ("-", "readonly"), ("<", ">"), (">", ">"), (">", "("), (">", "{"), ("?", "("), ("?", ","), ("?", ")")} | {(k, ">") for k in words} | {(k, x) for k in words for x in ("[", "|", "&", "=", "=>", ";", "{", "?", ".")}
-        out |= {(a, b) for a in (">", ">>", ">>>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "]", "|", "&", "=>", "[", "}", ".", "extends", "implements", ":")} | {("abstract", "class"), ("declare", "n"), ("readonly", "["), ("new", "(")}
+        out |= {(a, b) for a in (">", ">>", ">>>") for b in (">", ">>", ",", ")", "(", "{", ";", "=", "]", "|", "&", "=>", "[", "}", ".", "extends", "implements", ":")} | {("abstract", "class"), ("declare", "n"), ("readonly", "["), ("new", "("), (",", ">")}
     for k in HEADS.get(lang, "").split():
         out = {(a, b) for a, b in out if a != k or b == "(" or lang in SCRIPT and k == "catch" and b == "{"}
     if lang != "python":  # statements end at braces without a separator: the productions tell
@@ -272,7 +272,7 @@ _J_TYPE = r"(?:(?:n|0|int|long|double|float|boolean|byte|char|short|void|\.|<|>|
 _J_DECL = _J_MOD + r"(?:class|interface|enum|@ interface|n) n (?:\( \) )?(?:" + _J_TYPE + r"|implements |n |\( \) )*\{ \} "
 _J_OPEN = r"(?:n : |(?:if|for|while|synchronized) \( \) |else |do )*"
 _J_STATEMENT = (
-    rf"{_J_OPEN}(?:{_ENDS_BLOCK}|; |switch \( \) {_ENDS_BLOCK}|try (?:\( \) )?{_ENDS_BLOCK}|(?:return|throw|break|continue|assert) {_JE}(?:; |{_ENDS_BLOCK})|(?:final |var )*{_JE}(?:; |(?<=[=\])>n]){_ENDS_BLOCK}))"
+    rf"{_J_OPEN}(?:{_ENDS_BLOCK}|; |switch \( \) {_ENDS_BLOCK}|try (?:\( \) )?{_ENDS_BLOCK}|(?:return|throw|break|continue|assert) {_JE}(?:; |{_ENDS_BLOCK})|(?:final |var )*{_JE}(?:; |(?<=[=\])>n]|->){_ENDS_BLOCK}))"
     rf"|catch \( \) {_ENDS_BLOCK}|finally {_ENDS_BLOCK}"
 )
 
@@ -286,7 +286,7 @@ _RE = _x("let fn struct enum trait mod pub use static type ; where extern")
 _R_VIS = r"(?:pub (?:\( \) )?)?"
 _R_ITEM = (
     rf"{_R_VIS}(?:use {_x('; let fn struct')}(?:; |{_ENDS_BLOCK})|mod n (?:; |{_ENDS_BLOCK})|(?:default )?(?:const )?(?:async )?(?:unsafe )?(?:extern (?:s )?)?fn n (?:< {_x('fn let ;')})?\( \) {_x('let struct ; {')}(?:; |{_ENDS_BLOCK})"
-    rf"|struct n {_x('let fn ; {')}(?:; |{_ENDS_BLOCK})|n n (?:< {_x('let ; {')})?{_ENDS_BLOCK}|enum n {_x('let fn ; {')}{_ENDS_BLOCK}|(?:unsafe )?(?:default )?impl {_x('let struct ; {')}{_ENDS_BLOCK}|(?:unsafe )?(?:n )?trait n {_x('let ; {')}(?:; |{_ENDS_BLOCK})"
+    rf"|struct n {_x('let fn ; {')}(?:; |{_ENDS_BLOCK})|n n (?:< {_x('let ; {')})?{_ENDS_BLOCK}|enum n {_x('let fn ; {')}{_ENDS_BLOCK}|(?:unsafe )?(?:default )?impl (?!\{{ ){_x('let struct ; {')}{_ENDS_BLOCK}|(?:unsafe )?(?:n )?trait n {_x('let ; {')}(?:; |{_ENDS_BLOCK})"
     rf"|(?:const|static) (?:mut )?n : {_x('; let')}(?:; |{_ENDS_BLOCK})|type n {_x('; let')}; |extern crate n (?:as n )?; |extern (?:s )?{_ENDS_BLOCK}|(?:n :: |crate :: )*n ! (?:n )?(?:\( \) ; |\[ \] ; |{_ENDS_BLOCK})|const n : {_x('; let')}; )"
 )
 _R_BLOCKISH = rf"(?:' : )?(?:if {_RE}|(?:if|while) let {_RE}|while {_RE}|for {_RE}in {_RE}|loop |match {_RE}|unsafe |else (?:if (?:let )?{_RE})?|async (?:move )?|)" + _ENDS_BLOCK
@@ -297,12 +297,12 @@ _GE = _G_PARTS
 _G_IF = rf"if {_GE}{_G_BLOCK}(?:else if {_GE}{_G_BLOCK})*(?:else {_G_BLOCK})?"
 _G_STATEMENT = (
     rf"(?:n : )?(?:{_G_IF}|for {_x('package import case default else go defer')}{_G_BLOCK}|(?:switch|select) {_x('package import case default else go defer if for')}{_G_BLOCK}|{_G_BLOCK}|(?:go|defer) {_GE}|return {_GE}|(?:break|continue|goto) (?:n )?|fallthrough "
-    rf"|(?:var|const) (?:\( \) |n (?:, n )*{_GE})|type (?:\( \) |n {_GE})|(?!n n )(?:n : )?{_GE})"
+    rf"|(?:var|const) (?:\( \) |n (?:, n )*{_GE})|type (?:\( \) |n {_GE})|(?!n n |func n )(?:n : )?{_GE})"
 )
 
 #: Shapes that a statement may have, by language and by what the brackets around it hold.
 PRODUCTIONS = {
-    ("python", "top"): rf"(?:@ {_PE}|(?:if|elif|while|match|case) {_PE}(?:as n )?(?:if {_PE})?: (?:{_PY_LINE})?|(?:else|try|finally) : (?:{_PY_LINE})?|except (?:\* )?(?:{_PE}(?:as n )?)?: (?:{_PY_LINE})?|case {_x(_PY_STATEMENT, ':')}: (?:{_PY_LINE})?"
+    ("python", "top"): rf"(?:@ {_PE}|(?:if|elif|while|match|case) (?!: ){_PE}(?:as n )?(?:if {_PE})?: (?:{_PY_LINE})?|(?:else|try|finally) : (?:{_PY_LINE})?|except (?:\* )?(?:{_PE}(?:as n )?)?: (?:{_PY_LINE})?|case {_x(_PY_STATEMENT, ':')}: (?:{_PY_LINE})?"
     rf"|(?:async )?for {_PE}in {_PE}: (?:{_PY_LINE})?|(?:async )?with (?:{_PE}(?:as {_PE})?)+: (?:{_PY_LINE})?|(?:async )?def n (?:\[ \] )?\( \) (?:-> {_PE})?: (?:{_PY_LINE})?|class n (?:\[ \] )?(?:\( \) )?: (?:{_PY_LINE})?|{_PY_LINE})",
     ("python", "group"): _x(_PY_STATEMENT.replace(" match case", ""), ": ; ->", "= += -="),
     ("python", "call"): _x(_PY_STATEMENT.replace(" match case", ""), ": ; ->"),
@@ -311,23 +311,23 @@ PRODUCTIONS = {
     ("python", "set"): _x(_PY_STATEMENT.replace(" match case", ""), "; -> = += -="),
     ("java", "top"): rf"(?:package n (?:\. n )*; |import (?:static )?n (?:\. n )*(?:\. \* )?; |{_J_DECL}|; )",
     ("java", "members"): rf"(?:{_J_DECL}|(?:static )?{_ENDS_BLOCK}|; |{_J_MOD}(?:< {_J_TYPE}*> )?{_J_TYPE}*n \( \) (?:\[ \] )*(?:throws {_J_TYPE}+)?(?:{_ENDS_BLOCK}|; |default {_x('; if for while return')}; )|{_J_MOD}n {_ENDS_BLOCK}"
-    rf"|{_J_MOD}{_J_TYPE}+(?:\[ \] )*(?:= {_JE})?(?:, n (?:\[ \] )*(?:= {_JE})?)*(?:; |(?<=[=\])>n]){_ENDS_BLOCK}))",
+    rf"|{_J_MOD}{_J_TYPE}+(?:\[ \] )*(?:= {_JE})?(?:, n (?:\[ \] )*(?:= {_JE})?)*(?:; |(?<=[=\])>n]|->){_ENDS_BLOCK}))",
     ("java", "enum"): _x("if for while return throw"),
     ("java", "block"): rf"(?:{_J_STATEMENT}|{_J_DECL})",
     ("java", "switch"): rf"(?:(?:case (?:{_x('; { -> case return if')}|default )(?:->|:) |default (?:->|:) )*(?:{_J_STATEMENT}|{_J_DECL})?)",
-    ("javascript", "block"): rf"(?:{_S_OPEN}(?:{_ENDS_BLOCK}|; |switch \( \) {_ENDS_BLOCK}|try {_ENDS_BLOCK}|(?:break|continue) (?:n )?(?:; )?|debugger (?:; )?|(?:return|throw) {_SE}(?:{_ENDS_BLOCK})*(?:; )?|{_SE}(?:{_ENDS_BLOCK})*(?:; )?)"
+    ("javascript", "block"): rf"(?:{_S_OPEN}(?:{_ENDS_BLOCK}|; |switch \( \) {_ENDS_BLOCK}|try {_ENDS_BLOCK}|(?:break|continue) (?:n )?(?:; )?|debugger (?:; )?|(?:return|throw) {_SE}(?:{_ENDS_BLOCK})*(?:; )?|(?!function (?:\* )?\( |class \{{ |async function \( ){_SE}(?:{_ENDS_BLOCK})*(?:; )?)"
     rf"|catch (?:\( \) )?{_ENDS_BLOCK}|finally {_ENDS_BLOCK}|(?:export )?(?:default )?(?:async )?function (?:\* )?n \( \) {_ENDS_BLOCK}|export default (?:async )?function (?:\* )?\( \) {_ENDS_BLOCK}|(?:export )?(?:default )?class n (?:extends {_SE})?{_ENDS_BLOCK}|export default class (?:extends {_SE})?{_ENDS_BLOCK}"
     rf"|(?:export )?(?:const (?:n|\[ \]|\{{ \}}) (?:= {_SE})(?:{_ENDS_BLOCK})*|const {_ENDS_BLOCK}|(?:let|var) (?:n|\[ \]) {_SE}(?:{_ENDS_BLOCK})*|(?:let|var) {_ENDS_BLOCK})(?:; )?"
     rf"|import (?:\( \) |\. n ){_SE}(?:; )?|import (?:s |n (?:, )?(?:\* as n )?(?:{_ENDS_BLOCK})?(?:from s )?|\* as n from s |{_ENDS_BLOCK})(?:n {_ENDS_BLOCK})?(?:; )?|export (?:\* (?:as n )?from s |{_ENDS_BLOCK}|default {_SE}(?:{_ENDS_BLOCK})?)(?:; )?|from s (?:; )?)",
     ("javascript", "members"): rf"(?:; |(?:static )?{_ENDS_BLOCK}|(?:(?:static|async|get|set|\*) )*{_S_NAME}\( \) {_ENDS_BLOCK}|(?:static )?{_S_NAME}(?:= {_SE}(?:{_ENDS_BLOCK})*)?(?:; )?)",
     ("rust", "top"): rf"(?:{_R_ITEM}|; )",
     ("rust", "items"): rf"(?:{_R_ITEM}|; )",
-    ("rust", "block"): rf"(?:{_R_ITEM}|let {_x('let fn struct enum trait mod pub use static type ; where extern return')}(?:else )?(?:; |{_ENDS_BLOCK})|{_R_BLOCKISH}|; |{_RE}(?:; |{_ENDS_BLOCK})|{_RE})",
+    ("rust", "block"): rf"(?:{_R_ITEM}|let {_x('let fn struct enum trait mod pub use static type ; where extern return')}(?:else )?(?:; |{_ENDS_BLOCK})|{_R_BLOCKISH}|; |(?!(?:for|while|loop|struct|enum) ){_RE}(?:; |{_ENDS_BLOCK})?)",
     ("rust", "match"): rf"(?:{_x('let fn struct enum trait mod pub use static type ; where extern =>')}(?:if (?:let )?{_x('=> let')})?=> {_RE}(?:, )?|, )",
     ("rust", "fields"): rf"(?:{_R_VIS}n : {_x('let ; =')}(?:, )?|n (?:\( \) )?(?:= {_RE})?(?:, )?|n {_ENDS_BLOCK}|, )",
     ("go", "top"): rf"(?:package n |import (?:\( \) |(?:n |\. )?s )|func (?:\( \) )?n (?:\[ \] )?\( \) {_x('= := ; if for return var import')}|type (?:\( \) |n {_GE})|(?:var|const) (?:\( \) |n (?:, n )*{_GE}))(?:; )?",
     ("go", "block"): rf"{_G_STATEMENT}(?:; {_G_STATEMENT})*",
-    ("go", "switch"): rf"(?:(?:case {_x('package import default else go defer if for return var case :')}|default ): {_G_STATEMENT}|{_G_STATEMENT})",
+    ("go", "switch"): rf"(?:(?:(?:case {_x('package import default else go defer if for return var case :')}|default ): )+{_G_STATEMENT}|{_G_STATEMENT})",
     ("go", "fields"): _x("= := if for return var import package case default else go defer ; : const type switch select"),
 }
 _T_TYPE = _x("if else for while return ; const let var throw")
@@ -348,9 +348,9 @@ PRODUCTIONS = {k: coded(v) for k, v in PRODUCTIONS.items()}
 #: Shapes that no statement has, though a production lets them through.
 _LOOSE = "|".join(_escaped(t) for t in "== != <= >= < + - / // % ** @ & | ^ << >> = += -= *= /= := . -> and or not in is if else lambda".split())
 NEVER = {
-    "python": rf"^(?:if|else|and|or|in|is|for|as|async) \S+*[^:]$|(?:{_LOOSE}) $",
-    "java": r"n n n ",
-    "go": r"n n n |else (?!if |\{ )|(?:= |:= |\+ |- |/ |\. |&& |\|\| |== |\* )$",
+    "python": rf"^(?:if|else|and|or|in|is|for|as|async) {_x(':')}$|lambda {_x(':')}$|(?:{_LOOSE}) $",
+    "java": r"(?<!interface )(?<!class )n n n ",
+    "go": r"n n n |range n n |else (?!if |\{ )|(?:= |:= |\+ |- |/ |\. |&& |\|\| |== |\* )$",
     "javascript": r"^(?:const|let|var) n : |\) : |(?:= |\+ |- |/ |\. |&& |\|\| |=> |== |=== )$",
     "typescript": r"(?:= |\+ |- |/ |\. |&& |\|\| |=> |== |=== )$",
 }

@@ -60,6 +60,8 @@ class _Classes(dict):
         super().__init__({t: g.CODES[t] for t in [*words, *g.operators(lang), *g.OPEN, *g.CLOSE]})
         if lang == "json":
             self.update({t: g.CODES["l"] for t in ("true", "false", "null")})
+        # words that are keywords only here and there
+        self.update({"java": {"yield": g.CODES["return"]}, "rust": {"await": g.CODES["n"]}}.get(lang, {}))
         self.lang, self.number = lang, re.compile(g.NUMBER.get(lang, r".*"), re.S)
 
     def __missing__(self, token: str) -> str:
@@ -102,8 +104,8 @@ _OPENS, _CLOSES = {_C[t]: t for t in g.OPEN}, {_C[t] for t in g.CLOSE}
 _IDLE = {
     "go": re.compile(rf"(?<!{_set(g.GO_ENDS)})\n"),
     "javascript": re.compile(rf"(?<!{_set(g.SCRIPT_ENDS)})\n|\n(?={_set(g.SCRIPT_GOES_ON)})"),
+    "typescript": re.compile(rf"(?<!{_set([*g.SCRIPT_ENDS, '!', '>'])})\n|\n(?={_set(g.SCRIPT_GOES_ON)})"),
 }
-_IDLE["typescript"] = _IDLE["javascript"]
 _STOPS = re.compile(rf"[{''.join([*_OPENS, *_CLOSES])}{_C[';']}{_C[',']}\n]")
 _TELLING = {lang: re.compile(_set(k for k in ks)) for lang, ks in g.OPENERS.items()}
 _KIND = {lang: {_C[k]: kind for k, kind in ks.items()} for lang, ks in g.OPENERS.items()}
@@ -113,21 +115,23 @@ _VALUE = {_C[t] for t in "= , ( [ : ? return ] && || ?? + == += := in of yield a
 _AFTER = {_C[t] for t in ") else do try finally ; }".split()} | {""}
 
 
-def holds(lang: str, opener: str, p1: str, p2: str, kw: str, fresh: bool) -> str:
-    """What a bracket holds, from the codes before it and the last telling keyword of its statement."""
+def holds(lang: str, opener: str, outer: str, p1: str, p2: str, kw: str, fresh: bool) -> str:
+    """What a bracket holds, from what the one around it holds, the codes before it and the last telling keyword of its statement."""
     told = _KIND.get(lang, {}).get(kw)
     if lang == "json":
         return "object" if opener == "{" else "array"
     if lang == "python":
         if opener == "(":
-            return "params" if p2 == _C["def"] else "call" if p2 == _C["class"] or _is(p1, "n ) ]") else "group"
+            return "params" if p2 == _C["def"] or _is(kw, "def async") else "call" if p2 == _C["class"] or _is(p1, "n ) ]") else "group"
         return "index" if opener == "[" else "set"
     if opener != "{":
         if opener == "(" and lang == "go" and _is(p1, "import var const type"):
             return "specs"
         return "for" if opener == "(" and _is(p1, "for try await") else "any" if opener == "[" and lang == "rust" else "paren"
     if lang == "java":
-        if _is(p1, "= ] , ( ["):
+        if outer == "enum":
+            return "members"
+        if _is(p1, "= ] , ( [") or outer == "value" and p1 == _C["{"]:
             return "value"
         if p1 == _C["->"]:
             return "block"
@@ -150,7 +154,7 @@ def holds(lang: str, opener: str, p1: str, p2: str, kw: str, fresh: bool) -> str
         return "block"
     if told and _is(kw, "class interface enum namespace module type switch"):
         return told
-    return "value" if p1 in _VALUE else "block" if p1 in _AFTER else told or "any"
+    return "block" if outer == "switch" and p1 == _C[":"] else "value" if p1 in _VALUE else "block" if p1 in _AFTER else told or "any"
 
 
 class _Level:
@@ -162,7 +166,12 @@ class _Level:
         self.holds, self.grp, self.run, self.parts, self.kw, self.indent = holds, grp, 0, [], "", 0
 
 
-_SOFT = re.compile(r"(?:match|case)\Z")
+#: After a type in braces a type goes on with one of these.
+_TYPE_ON = {_C[t] for t in "> | & [ , = )".split()}
+#: A pattern in braces goes on with one of these.
+_PATTERN_ON = {_C[t] for t in "=> if | . ?".split()}
+#: Names of members may be keywords.
+_MEMBER = re.compile(f"(?<={_set(['.', '?.'])}){_set(g.KEYWORDS['typescript'].split())}")
 
 
 def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[str, str, list[tuple]]:
@@ -178,6 +187,8 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
         for k, t in enumerate(tokens):
             if t[0] == "\n":
                 indents.append(len(t[t.rfind("\n") + 1 :].expandtabs(8)))
+                if k + 2 < len(tokens) and tokens[k + 1] == "type" and codes[k + 2] == _C["n"]:
+                    codes[k + 1] = _C["type"]
                 if k + 2 < len(tokens) and tokens[k + 1] in ("match", "case"):  # soft keywords at a line's begin
                     after = tokens[k + 2]
                     name = after in "= . : , ) += -= == != -> |".split() or after[0] == "\n" or tokens[k + 1] == "match" and after in "(["
@@ -185,6 +196,8 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
     elif lang == "java":
         codes = [_C["class"] if t == "record" and codes[k + 1 : k + 2] == [_C["n"]] else c for k, (t, c) in enumerate(zip(tokens, codes))] if "record" in text else codes
     stream = "".join(codes)
+    if lang in g.SCRIPT:
+        stream = _MEMBER.sub(_C["n"], stream)
     if lang in _IDLE:
         stream = _IDLE[lang].sub("", stream)
     elif lang != "python":
@@ -228,12 +241,13 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
                 elif lang == "go" and level.holds in ("paren", "value"):
                     level.parts.append("\n")
                     flat.append("\n")
-                else:
+                elif level.holds != "paren" and not (lang == "javascript" and level.holds == "value"):
                     flat.append("\n")
             continue
         flat.append(stop)
         if stop in _OPENS:
-            kind = holds(lang, _OPENS[stop], prev, prev2, level.kw, not level.parts)
+            kw = level.kw if lang != "python" else level.parts[0][:1] if level.parts and not stack else ""
+            kind = holds(lang, _OPENS[stop], level.holds, prev, prev2, kw, not level.parts)
             brackets.append(_OPENS[stop])
             level.parts.append(stop)
             if stop == _C["{"]:
@@ -251,7 +265,7 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
             level.parts.append(stop)
             if stop == close_brace:
                 level.kw = ""
-                if lang not in ("go", "python", "json") and level.holds in _CUTS:
+                if lang not in ("go", "python", "json") and level.holds in _CUTS and not (lang == "typescript" and stream[at : at + 1] in _TYPE_ON or level.holds == "match" and stream[at : at + 1] in _PATTERN_ON):
                     cut()
         elif stop == semicolon:
             level.parts.append(stop)
@@ -426,13 +440,14 @@ def shape_faults(statements: DataFrame) -> DataFrame:
     for name, pattern in g.NEVER.items():
         made = made | ((lang == name) & F.col("holds").isin("top", "block", "members", "switch") & shape.rlike(pattern))
     made = made | (F.col("holds").isin("paren", "value") & lang.isin("java", "go", *g.SCRIPT) & (_times(";") > 0)) | (_times(g.FAULT) > 0)
+    made = made | ((lang == "java") & (F.col("holds") == "paren") & shape.endswith(g.CODES[","]))
     return rows.filter(F.when(lang == "json", _json_fault()).when(lang == "toml", _toml_fault()).otherwise(made)).drop("plain")
 
 
 def clause_faults(statements: DataFrame) -> DataFrame:
     """Statements that lack the one before or after them which they need, by windows over the statements of a block."""
     lang, shape = F.col("lang"), F.col("shape")
-    rows = statements.filter(lang.isin("rust", "java", *g.SCRIPT) & F.col("holds").isin("top", "block", "members", "switch", "items", "any"))
+    rows = statements.filter((lang.isin("rust", "java", *g.SCRIPT) & F.col("holds").isin("top", "block", "members", "switch", "items", "any")) | ((lang == "go") & (F.col("holds") == "top")))
     group = Window.partitionBy("row", "grp").orderBy("run")
     rows = rows.withColumn("head", F.substring("shape", 1, 1))
     is_ = lambda column, *tokens: F.col(column).isin([g.CODES[t] for t in tokens])
@@ -440,7 +455,7 @@ def clause_faults(statements: DataFrame) -> DataFrame:
     other = is_("head", "else")
     ifs = F.when(lang == "rust", _times("if") + _times("let") - F.when(other, 1).otherwise(0)).otherwise(_times("if") - _times("else"))
     rows = rows.select(
-        "*", ifs.alias("ifs"), F.sum(F.when(other, 0).otherwise(1)).over(group).alias("chain"), F.lead("head").over(group).alias("next_head"),
+        "*", ifs.alias("ifs"), F.sum(F.when(other | (lang.isin(g.SCRIPT) & (shape == g.CODES[";"])), 0).otherwise(1)).over(group).alias("chain"), F.lead("head").over(group).alias("next_head"),
         F.lead("shape").over(group).alias("next_shape"), F.lag("shape").over(group).alias("last_shape"),
     )
     balance = F.sum("ifs").over(Window.partitionBy("row", "grp", "chain").orderBy("run"))
@@ -449,6 +464,7 @@ def clause_faults(statements: DataFrame) -> DataFrame:
     before, after = F.col("last_shape"), F.col("next_shape")
     like = lambda column, pattern: F.coalesce(column.rlike(g.coded(pattern)), F.lit(False))
     lost = other & (F.col("balance") < 0)
+    package = (lang == "go") & (F.col("last_shape").isNull() != is_("head", "package"))
     lone_try = java_like & blocks & _like(r"try \{ \} $") & ~F.coalesce(is_("next_head", "catch", "finally"), F.lit(False))
     lone_catch = java_like & blocks & _like(r"^(?:catch (?:\( \) )?|finally )\{ \} $") & ~like(before, r"try (?:\( \) )?\{ \} $|^catch (?:\( \) )?\{ \} $")
     lone_do = java_like & blocks & _like(r"^do \{ \} $") & ~like(after, r"^while \( \) (?:; )?$")
@@ -465,7 +481,7 @@ def clause_faults(statements: DataFrame) -> DataFrame:
     open_end = (lang == "java") & F.col("holds").isin("top", "block", "members") & ~whole
     early = (lang == "rust") & (F.col("holds") == "block") & ~whole & F.col("next_head").isNotNull()
     late = (lang == "rust") & F.col("holds").isin("top", "items") & ~whole
-    return rows.withColumn("balance", balance).filter(lost | lone_try | lone_catch | lone_do | more | joined | open_end | early | late)
+    return rows.withColumn("balance", balance).filter(lost | package | lone_try | lone_catch | lone_do | more | joined | open_end | early | late)
 
 
 def line_faults(statements: DataFrame) -> DataFrame:

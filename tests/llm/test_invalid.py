@@ -72,3 +72,57 @@ def test_statements_of_brace_languages(spark):
     df = spark.createDataFrame([(i, "r", p, t) for i, (p, t) in enumerate([*good, *broken])], SCHEMA)
     got = {r.file_id for r in invalid.invalid_files(df).collect()}
     assert got == set(range(len(good), len(good) + len(broken)))
+
+
+#: What stands around a statement, and statements that are none; each is put into a file of its own.
+AROUND = {"java": ("class A {\n  void f() {\n", "\n  }\n}\n"), "rs": ("fn f() {\n", "\n}\n"), "go": ("package a\n\nfunc f() {\n", "\n}\n"), "ts": ("function f() {\n", "\n}\n"), "js": ("function f() {\n", "\n}\n")}
+FAULTS = {
+    'java': ['int x = ;', 'return return;', 'if (x) }', 'else { g(); }', 'for (int i = 0; i < 3) i++ { } }', 'int = 3;', 'try { g(); }', 'void g() { h(); }', 'x = 1 y = 2;', 'case 1: g();', 'foo(1, );', 'String s = "a" "b";'],
+    'rs': ['let = 3;', 'let x 3;', 'else { g(); }', 'fn { }', 'if { } else { } else { }', 'match x { 1 => }', 'let x = 1 let y = 2;', 'for x { }', 'struct { x: u8 }', 'x = = 3;', 'return fn;', 'g(1 2);'],
+    'go': ['x := ', 'if x { } else } {', 'else { g() }', 'for x := range y z { }', 'func g() { }', 'var = 3', 'x y z', 'return return', 'if x { g() }\n\telse { h() }', 'x := [1, 2]', 'g(1 2)', 'case 1:'],
+    'ts': ['const x;', 'let x: = 3;', 'else { g(); }', 'try { g(); }', 'function () { }', 'class { }', 'if x { g(); }', 'x = ;', 'for (const x y) { }; }', 'catch (e) { }', 'return return;', 'let 3 = x y;'],
+    'js': ['const x;', 'let = = 3;', 'else { g(); }', 'try { g(); }', 'function () { }', 'class { }', 'if x { g(); }', 'x = ;', 'return return;', 'catch (e) { }', 'let x: number = 3;', 'g(1 2);'],
+}
+FAULTY_FILES = [('t.rs', 'let x = 1;\n'), ('t.rs', 'g();\n'), ('t.rs', 'fn () { }\n'), ('t.rs', 'struct { x: u8 }\n'), ('t.rs', 'impl { }\n'), ('t.java', 'int f() { return 1; }\nif (x) { }\n'), ('t.java', 'class { }\n'), ('t.java', 'package ;\nclass A { }\n'), ('t.java', 'class A { x = 3; if (y) { } }\n'), ('t.go', 'package a\nx := 3\n'), ('t.go', 'package a\nfunc { }\n'), ('t.go', 'package a\nif x { }\n'), ('t.py', 'def f:\n    pass\n'), ('t.py', 'class :\n    pass\n'), ('t.py', 'x = = 1\n'), ('t.py', 'for x y:\n    pass\n'), ('t.py', 'import\n'), ('t.py', 'from x import\n'), ('t.py', 'x = 1 +\n'), ('t.py', 'if x = 1:\n    pass\n'), ('t.py', 'def f(x y):\n    pass\n'), ('t.py', 'return x y\n'), ('t.py', 'lambda x\n'), ('t.py', 'f(a b)\n'), ('t.py', 'else:\n    pass\n'), ('t.py', 'while:\n    pass\n')]
+#: Valid files with many kinds of statements.
+VALID = [
+    ('ok.java', 'package a;\n\npublic record P(int x, String y) implements Q { P { check(); } static int z = 3; }\n'),
+    ('ok.java', 'import static a.b.C.*;\n@interface N { int v() default 3; }\nsealed interface S permits A, B { }\nclass A {\n  static { f(); }\n  int[] a = new int[]{1, 2}, b[];\n  <T extends B> T g(List<? super T> x) { label: for (;;) { if (a) continue label; else break; } return switch (x) { case 1 -> 2; default -> { yield 3; } }; }\n  Runnable r = () -> { f(); };\n  void h() { synchronized (this) { x++; } int y = a ? b : c; f(x -> { return y; }); throw new E("x"); }\n}\n'),
+    ('ok.rs', '#![allow(x)]\nuse std::{io, fmt::{self, Debug}};\npub(crate) mod a { pub fn f() {} }\npub enum E { A, B(u8), C { x: u8 } }\ntrait T: Clone + \'static { const N: usize; type X; fn f(&self) -> u8; fn g() {} }\nunsafe impl<T> Send for S<T> where T: Send {}\nmacro_rules! m { ($x:expr) => { $x + 1 }; }\nstatic X: &str = "a";\nasync fn h(x: impl Fn(u8) -> u8) -> Result<(), Box<dyn Error>> {\n    let (a, mut b) = (1, 2);\n    let v: Vec<u8> = vec![1; 3];\n    \'o: loop { if a > b { break \'o; } b += 1; }\n    while let Some(x) = it.next() { f(x)?; }\n    let s = S { x: 1, ..Default::default() };\n    let Ok(q) = r else { return Err(e.into()); };\n    if let Some(x) = y && z { g(); } else if w { h().await?; }\n    match s { S { x, .. } if x > 3 => { f() } S { x: 1 | 2, .. } => g(), _ => unreachable!(), }\n    for (i, x) in v.iter().enumerate() { println!("{i}"); }\n    unsafe { *p = 3; }\n    let c = |x: u8| -> u8 { x + 1 };\n    x as u64\n}\n'),
+    ('ok.go', 'package a\n\nimport "fmt"\n\ntype (\n\tA int\n\tB interface {\n\t\tf(x int) (y, z error)\n\t\tfmt.Stringer\n\t}\n)\n\ntype G[T any] struct {\n\tx, y T\n\t*B `json:"b"`\n}\n\nvar x, y = 1, 2\n\nconst (\n\tc = iota\n\td\n)\n\nfunc (g *G[T]) f(a ...int) (r int, err error) {\n\tif x, ok := m[1]; ok && x > 2 {\n\t\treturn 1, nil\n\t} else if !ok {\n\t\tgoto end\n\t}\n\tfor i := 0; i < 3; i++ {\n\t\tcontinue\n\t}\n\tfor range ch {\n\t}\n\tselect {\n\tcase v := <-ch:\n\t\tg(v)\n\tcase <-done:\n\tdefault:\n\t}\n\tswitch {\n\tcase x > 1, y < 2:\n\t\tfallthrough\n\tdefault:\n\t\tch <- 1\n\t}\n\ts := []T{{1, 2}, {3, 4}}\n\tm := map[string]int{\n\t\t"a": 1,\n\t}\n\tf := func(x int) int { return x }\n\tdefer func() { recover() }()\nend:\n\tx.y[1], z = 2, &T{a: 1}\n\treturn\n}\n'),
+    ('ok.ts', "import type { A } from './a';\nimport * as b from 'b';\nimport c, { d } from 'c';\nexport * from './e';\nexport { A, B as C } from './f';\ndeclare module 'x' { export function f(a: string): void; }\nexport enum E { A = 1, B }\ntype F<T> = { [K in keyof T]?: T[K] } & { a: string };\ntype U = | 'a' | 'b'\ninterface G { readonly a: string\n  b?(x: number): void\n  [key: string]: unknown }\nabstract class H<T> extends I<T> implements J {\n  private x = 1\n  static #y: Map<string, number> = new Map()\n  constructor(private readonly z: string, public w?: number) { super() }\n  abstract f(): void;\n  get g(): number { return this.x }\n  async *h<U>(a: U): AsyncGenerator<U> { yield a }\n}\nexport const f = async <T,>(a: T): Promise<T | undefined> => { try { return await g(a) } catch { return undefined } }\nlet x = a as unknown as string, y = b!\nfor (const [k, v] of Object.entries(o)) { if (k) continue; else { h(v) } }\nexport default class { }\nfunction over(a: string): void;\nfunction over(a: any) { switch (a) { case 'x': return 1; default: break } }\nlet z = cond ? { a: 1 } : [2]\nconst { p, q: { r } } = s;\nx satisfies Y;\n"),
+    ('ok.js', "'use strict'\nconst { a, b } = require('x')\nlet c, d = 1\nvar e = function () { return 1 }\nasync function* f() { for await (const x of y) { yield* x } }\nclass A extends B { static x = 1; #y = 2; get z() { return this.#y } static { f() } async m() { } [k]() { } }\nmodule.exports = { a, b: 1, c() { }, get d() { return 1 }, ...e, [f]: g, async *h() { } }\ndo { x++ } while (x < 3)\nif (a) b\nelse c\nswitch (a) { case 1: case 2: { f(); break } default: g() }\nlabel: for (let i = 0, n = 3; i < n; i++) { continue label }\ntry { f() } catch { g() } finally { h() }\nconst t = `a ${b} c`, r = /x[/]y/g\nexport default function () { }\nx = y ? z : { w: 1 }\n;[1, 2].map(n => n * 2)\nthrow new Error('x')\n"),
+    ('ok.py', "from __future__ import annotations\nimport a.b as c, d\nfrom . import (e,\n    f)\nfrom ..g import *\n\n@h(1)\nclass A(B, metaclass=C):\n    x: int = 1\n    y: dict[str, int]\n    def f(self, /, a, *, b: int = 1, **k) -> None: return None\n    async def g(self):\n        async with a as b, c as d:\n            await x\n        async for i in y: pass\n        return [i async for i in z if i]\n\nmatch x:\n    case [1, *rest] if rest:\n        pass\n    case {'a': A(b=1)} | None:\n        pass\n    case _:\n        pass\nmatch = 3\nx = y = lambda a, *b, c=1: a if b else c\nx[1:2, ::3] = {**a, 'b': 1}\nx, *y = 1, 2\nprint(*a, **b, sep='')\nif (n := 3) > 2 and not x is None: y += 1; z -= 2\nwith (open(a) as f, open(b) as g):\n    pass\ntry:\n    pass\nexcept* E as e:\n    raise F from e\nfor i, j in a: pass\nelse:\n    del x, y\nassert x, 'y'\nglobal q\ntype T = int\ndef f[T](x: T): yield from x\nx = yield\nw = 1_000.5e3j + 0x_ff + .5\nf'{x!r:>{y}}' rb'x'\n"),
+]
+
+
+def test_nine_of_ten_statement_faults_are_caught_and_valid_files_pass(spark):
+    faulty = [(f"x.{x}", AROUND[x][0] + c + AROUND[x][1]) for x, cs in FAULTS.items() for c in cs] + FAULTY_FILES
+    rows = [(i, "r", p, t) for i, (p, t) in enumerate([*faulty, *VALID])]
+    got = {r.file_id for r in invalid.invalid_files(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not {i for i in got if i >= len(faulty)}
+    for x in {p.rsplit(".", 1)[1] for p, _ in faulty}:
+        of = [i for i, (p, _) in enumerate(faulty) if p.endswith("." + x)]
+        assert len(of) >= 10 and len([i for i in of if i in got]) >= 0.9 * len(of), x
+
+
+def test_equals_the_parsers_of_the_standard_library(spark):
+    import ast
+    import json
+    import tomllib
+    import warnings
+
+    parse = {"py": ast.parse, "json": json.loads, "toml": tomllib.loads}
+    files = spark.read.parquet("/root/testdata/sf0.01/files.parquet").select("file_id", "repo", "relative_path", "text")
+    want = set()
+    for r in files.collect():
+        x = r.relative_path.rsplit(".", 1)[-1]
+        if x in parse and r.text and r.text.strip():
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    parse[x](r.text)
+            except (ValueError, SyntaxError):
+                want.add(r.file_id)
+    got = {r.file_id for r in invalid.invalid_files(files).collect() if r.lang in ("python", "json", "toml")}
+    assert got == want and want
