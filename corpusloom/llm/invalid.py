@@ -106,7 +106,8 @@ _IDLE = {
     "javascript": re.compile(rf"(?<!{_set(g.SCRIPT_ENDS)})\n|\n(?={_set(g.SCRIPT_GOES_ON)})"),
     "typescript": re.compile(rf"(?<!{_set([*g.SCRIPT_ENDS, '!', '>'])})\n|\n(?={_set(g.SCRIPT_GOES_ON)})"),
 }
-_STOPS = re.compile(rf"[{''.join([*_OPENS, *_CLOSES])}{_C[';']}{_C[',']}\n]")
+_STOPS = re.compile(rf"([{''.join([*_OPENS, *_CLOSES])}{_C[';']}{_C[',']}\n])")
+_BRACES = re.compile(f"[{_C['{']}{_C['}']}{_C[';']}]")
 _TELLING = {lang: re.compile(_set(k for k in ks)) for lang, ks in g.OPENERS.items()}
 _KIND = {lang: {_C[k]: kind for k, kind in ks.items()} for lang, ks in g.OPENERS.items()}
 _CUTS = {"top", "block", "members", "switch", "items", "fields", "match", "any", "enum", "types", "specs"}
@@ -158,14 +159,24 @@ def holds(lang: str, opener: str, outer: str, p1: str, p2: str, kw: str, fresh:
 
 
 class _Level:
-    """An open bracket: what it holds, its number, the statement begun in it and its last telling keyword."""
+    """An open bracket: what it holds, its number and the statement begun in it."""
 
-    __slots__ = ("holds", "grp", "run", "parts", "kw", "indent")
+    __slots__ = ("holds", "grp", "run", "parts", "indent")
 
     def __init__(self, holds: str, grp: int):
-        self.holds, self.grp, self.run, self.parts, self.kw, self.indent = holds, grp, 0, [], "", 0
+        self.holds, self.grp, self.run, self.parts, self.indent = holds, grp, 0, [], 0
 
 
+def _keyword(lang: str, parts: list[str]) -> str:
+    """The last keyword of a statement so far, behind any brace, that tells what a brace opens."""
+    said = _BRACES.split("".join(parts))[-1]
+    told = _TELLING[lang].findall(said) if lang in _TELLING else []
+    if lang == "rust":  # ``impl`` also begins a type, which opens nothing
+        told = [t for t in told if t != _C["impl"] or said[:1] == t or said[:2] in (_C["unsafe"] + t, _C["pub"] + t)]
+    return told[-1] if told else ""
+
+
+_SOFT = re.compile(r"(?m)^[ \t]*(?:match|case|type)\b")
 #: After a type in braces a type goes on with one of these.
 _TYPE_ON = {_C[t] for t in "> | & [ , = )".split()}
 #: A pattern in braces goes on with one of these.
@@ -184,15 +195,13 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
     codes = [classes[t] for t in tokens]
     indents = []
     if lang == "python":
-        for k, t in enumerate(tokens):
-            if t[0] == "\n":
-                indents.append(len(t[t.rfind("\n") + 1 :].expandtabs(8)))
-                if k + 2 < len(tokens) and tokens[k + 1] == "type" and codes[k + 2] == _C["n"]:
-                    codes[k + 1] = _C["type"]
-                if k + 2 < len(tokens) and tokens[k + 1] in ("match", "case"):  # soft keywords at a line's begin
-                    after = tokens[k + 2]
-                    name = after in "= . : , ) += -= == != -> |".split() or after[0] == "\n" or tokens[k + 1] == "match" and after in "(["
-                    codes[k + 1] = _C["n"] if name else _C[tokens[k + 1]]
+        indents = [len(t[t.rfind("\n") + 1 :].expandtabs(8)) for t in tokens if t[0] == "\n"]
+        if _SOFT.search(text):  # words that are keywords at a line's begin only
+            for k, t in enumerate(tokens[:-2]):
+                if t[0] == "\n" and tokens[k + 1] in ("match", "case", "type"):
+                    word, after = tokens[k + 1], tokens[k + 2]
+                    name = after in "= . : , ) += -= == != -> |".split() or after[0] == "\n" or word == "match" and after in "([" or word == "type" and codes[k + 2] != _C["n"]
+                    codes[k + 1] = _C["n"] if name else _C[word]
     elif lang == "java":
         codes = [_C["class"] if t == "record" and codes[k + 1 : k + 2] == [_C["n"]] else c for k, (t, c) in enumerate(zip(tokens, codes))] if "record" in text else codes
     stream = "".join(codes)
@@ -203,9 +212,10 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
     elif lang != "python":
         stream = stream.replace("\n", "")
     level, stack, out, brackets, flat = _Level("top", 0), [], [], [], []
-    groups, at, line, prev, prev2 = 0, 0, 0, "", ""
-    telling, kinds, rust, brace = _TELLING.get(lang), _KIND.get(lang), lang == "rust", lang not in ("python", "json")
-    comma, semicolon, close_brace = _C[","], _C[";"], _C["}"]
+    groups, line, prev, prev2 = 0, 0, "", ""
+    rust, python, brace, script = lang == "rust", lang == "python", lang not in ("python", "json"), lang in g.SCRIPT
+    semicolon, close_brace, ends = _C[";"], _C["}"], lang in ("rust", "java", *g.SCRIPT)
+    pieces = _STOPS.split(stream)  # what stands between stops, and the stops
 
     def cut() -> None:
         if level.parts:
@@ -213,21 +223,14 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
             level.parts = []
         level.run += 1
 
-    for m in _STOPS.finditer(stream):
-        stop, end = m.group(), m.start()
-        if end > at:
-            part = stream[at:end]
+    for k in range(0, len(pieces) - 1, 2):
+        part, stop = pieces[k], pieces[k + 1]
+        if part:
             level.parts.append(part)
             flat.append(part)
             prev, prev2 = part[-1], part[-2] if len(part) > 1 else prev
-            if telling:
-                for t in telling.finditer(part):
-                    k = t.group()
-                    if not (rust and k == _C["impl"] and (t.start() or len(level.parts) > 1) and part[t.start() - 1 : t.start()] not in (_C["unsafe"], _C["pub"])):
-                        level.kw = k
-        at = m.end()
         if stop == "\n":
-            if lang == "python":
+            if python:
                 if not stack:
                     cut()
                     level.indent = indents[line] if line < len(indents) else 0
@@ -236,7 +239,6 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
             else:
                 if level.holds in _CUTS:
                     cut()
-                    level.kw = ""
                     flat.append("\n")
                 elif lang == "go" and level.holds in ("paren", "value"):
                     level.parts.append("\n")
@@ -246,12 +248,14 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
             continue
         flat.append(stop)
         if stop in _OPENS:
-            kw = level.kw if lang != "python" else level.parts[0][:1] if level.parts and not stack else ""
+            kw = ""
+            if python:
+                kw = level.parts[0][:1] if level.parts and not stack else ""
+            elif stop == _C["{"] and level.parts:
+                kw = _keyword(lang, level.parts)
             kind = holds(lang, _OPENS[stop], level.holds, prev, prev2, kw, not level.parts)
             brackets.append(_OPENS[stop])
             level.parts.append(stop)
-            if stop == _C["{"]:
-                level.kw = ""
             stack.append(level)
             groups += 1
             level = _Level(kind, groups)
@@ -263,23 +267,22 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
             if stack:
                 level = stack.pop()
             level.parts.append(stop)
-            if stop == close_brace:
-                level.kw = ""
-                if lang not in ("go", "python", "json") and level.holds in _CUTS and not (lang == "typescript" and stream[at : at + 1] in _TYPE_ON or level.holds == "match" and stream[at : at + 1] in _PATTERN_ON):
+            if stop == close_brace and ends and level.holds in _CUTS:
+                after = pieces[k + 2][:1] or (pieces[k + 3] if k + 3 < len(pieces) else "")
+                if not (lang == "typescript" and after in _TYPE_ON or level.holds == "match" and after in _PATTERN_ON):
                     cut()
         elif stop == semicolon:
             level.parts.append(stop)
-            if lang not in ("go", "python") and level.holds in _CUTS:
+            if ends and level.holds in _CUTS:
                 cut()
-            level.kw = ""
         else:
             level.parts.append(stop)
             if rust and level.holds in ("fields", "match"):
                 cut()
         prev, prev2 = stop, prev
-    if at < len(stream):
-        level.parts.append(stream[at:])
-        flat.append(stream[at:])
+    if pieces[-1]:
+        level.parts.append(pieces[-1])
+        flat.append(pieces[-1])
     cut()
     while stack:
         level = stack.pop()
@@ -378,14 +381,17 @@ def pair_faults(lexed: DataFrame) -> DataFrame:
 
 
 def nesting_faults(lexed: DataFrame) -> DataFrame:
-    """(file_id, lang) of files whose brackets do not nest, from windows over the rows of all brackets."""
-    rows = lexed.filter("brackets <> ''").select("row", "file_id", "lang", F.posexplode(F.split("brackets", "")).alias("n", "what")).filter("what <> ''")
-    opens = F.col("what").isin(g.OPEN)
+    """(row) of files whose brackets do not nest, from windows over the rows of all brackets."""
+    # files are spread before they become rows, so that the windows need no exchange of rows
+    rows = lexed.filter("brackets <> ''").select("row", "brackets").repartition("row").select("row", F.posexplode(F.split("brackets", "")).alias("n", "what")).filter("what <> ''")
+    rows = rows.select("row", "n", F.ascii("what").alias("what"))
+    opens = F.col("what").isin([ord(b) for b in g.OPEN])
     order = Window.partitionBy("row").orderBy("n")
-    rows = rows.select("row", "file_id", "lang", "n", "what", (F.sum(F.when(opens, 1).otherwise(-1)).over(order) + F.when(opens, 0).otherwise(1)).alias("depth"))
+    rows = rows.select("row", "n", "what", (F.sum(F.when(opens, 1).otherwise(-1)).over(order) + F.when(opens, 0).otherwise(1)).cast("int").alias("depth"))
     level = Window.partitionBy("row", "depth").orderBy("n")
-    rows = rows.select("file_id", "lang", "depth", opens.alias("opens"), F.translate("what", "([{", ")]}").alias("closing"), F.lead("what").over(level).alias("next"))
-    return rows.filter((F.col("depth") < 1) | (F.col("opens") & ~F.col("next").eqNullSafe(F.col("closing")))).select("file_id", "lang")
+    partner = F.when(F.col("what") == ord("("), ord(")")).otherwise(F.col("what") + 2)
+    rows = rows.select("row", "depth", "what", F.lead("what").over(level).alias("next"))
+    return rows.filter((F.col("depth") < 1) | (opens & ~F.col("next").eqNullSafe(partner))).select("row")
 
 
 def _like(pattern: str) -> Column:
@@ -539,9 +545,11 @@ def with_language(files: DataFrame) -> DataFrame:
 def checks(lexed: DataFrame) -> dict[str, DataFrame]:
     """(file_id, lang) of the files that each check flags, files as often as they have faults."""
     statements = statement_rows(lexed)
+    blocks = F.filter("statements", lambda s: s["holds"].isin("top", "block", "members", "switch", "items", "any"))
+    together = statement_rows(lexed.select("row", "file_id", "lang", blocks.alias("statements")).repartition("row"))  # for windows, which then need no exchange of rows
     return {
-        "pairs": pair_faults(lexed), "nesting": nesting_faults(lexed), "productions": shape_faults(statements).select("file_id", "lang"), "clauses": clause_faults(statements).select("file_id", "lang"),
-        "lines": line_faults(statements), "dedents": dedent_faults(lexed), "keys": repeated_keys(statements),
+        "pairs": pair_faults(lexed), "nesting": lexed.select("row", "file_id", "lang").join(nesting_faults(lexed).distinct(), "row", "left_semi").select("file_id", "lang"), "productions": shape_faults(statements).select("file_id", "lang"), "clauses": clause_faults(together).select("file_id", "lang"),
+        "lines": line_faults(together), "dedents": dedent_faults(lexed), "keys": repeated_keys(statements),
     }
 
 
