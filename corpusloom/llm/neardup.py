@@ -2,14 +2,14 @@
 
 Texts become sets of shingles of ``shingle`` consecutive words. Document
 frequencies over all texts are held in a count-min sketch of fixed size; they give
-each shingle the weight ``tf * (1 + idf)`` with a damped tf and an idf scaled to [0, 1],
-so rare shingles weigh up to twice as much. Improved consistent weighted sampling
+each shingle the weight ``(1 + ln(tf) / 4) * (1 + idf / 4)`` with an idf scaled to [0, 1],
+so rare shingles weigh up to a quarter more. Improved consistent weighted sampling
 (Ioffe 2010) draws ``bands * rows`` samples from each text; texts that agree on all
 samples of at least two bands are candidates (at a weighted similarity of 0.5 that finds
-99.9 % of the pairs, and at 0.6 all but one in a million). A plain Jaccard similarity of
-0.5 is a weighted one of 0.33 to 0.4 where shared shingles are common and the others
-rare; of such pairs 11.5 % to 2.7 % are expected to be lost. Candidates are verified exactly, by the Jaccard
-similarity of their shingle sets or by the weighted one.
+99.9 % of the pairs, and at 0.6 all but one in a million). As the links wanted are those
+of plain Jaccard, the weights are damped: a plain similarity of 0.5 is a weighted one of
+at least 0.44 where no shingle repeats, of which 0.8 % are expected to be lost. Candidates
+are verified exactly, by the Jaccard similarity of their shingle sets.
 
 Exact copies are first reduced to one text, known by its 64-bit hash, and links name
 the least id of its copies. A bucket of more than ``star``
@@ -25,6 +25,7 @@ named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from ..session import cut_lineage
 SHINGLE, BANDS, ROWS, STAR = 3, 32, 2, 64
 SKETCH_DEPTH, SKETCH_WIDTH = 3, 1 << 18
 POOL, LEVELS = 1 << 13, 16
+#: How far frequency within a text and rarity among texts move a shingle's weight away from 1.
+DAMP = 0.25
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,8 +120,13 @@ def sample_tables(samples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray,
     return rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, dtype=np.float32)
 
 
+@lru_cache(maxsize=2)
+def _tables(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return sample_tables(samples, seed)
+
+
 def _weight_levels() -> np.ndarray:
-    return np.linspace(1.0, 6.0, LEVELS)
+    return np.linspace(1.0, 2.5, LEVELS)
 
 
 def draw(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, samples: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +139,7 @@ def draw(doc: np.ndarray, gram: np.ndarray, weight: np.ndarray, samples: int, se
     level = np.clip(np.rint((weight - levels[0]) / (levels[1] - levels[0])), 0, len(levels) - 1).astype(np.int64)
     used, level = np.unique(level, return_inverse=True)
     logw = np.log(levels[used]).astype(np.float32)
-    r, lnc, beta = sample_tables(samples, seed)
+    r, lnc, beta = _tables(samples, seed)
     sizes = np.diff(np.append(first, len(doc)))
     position = np.arange(len(doc))
     for s in range(samples):
@@ -155,7 +163,7 @@ def band_keys(texts: DataFrame, shingle: int, bands: int, rows: int, sketch: np.
             doc, gram, times = shingles(*_flat(batch, "h"), shingle)
             df = np.min([table[d][cell] for d, cell in enumerate(_cells(gram))], axis=0) if len(gram) else np.zeros(0)
             idf = np.log((1 + n_texts) / (1 + df)) / np.log(1 + n_texts) if n_texts else np.zeros(0)
-            weight = (1 + np.log(times)) * (1 + np.clip(idf, 0, 1))
+            weight = (1 + DAMP * np.log(times)) * (1 + DAMP * np.clip(idf, 0, 1))
             which, samples = draw(doc, gram, weight, bands * rows)
             with np.errstate(over="ignore"):
                 keys = np.zeros((len(which), bands), dtype=np.uint64)
