@@ -23,7 +23,7 @@ def metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def symbol_hit_rate(rows: DataFrame) -> DataFrame:
     """Share of labelled rows whose first hit bears the symbol, alone or as a qualified tail."""
-    hit = (F.col("name") == F.col("symbol")) | F.endswith("name", F.concat(F.lit("::"), "symbol")) | F.endswith("name", F.concat(F.lit("."), "symbol"))
+    hit = (F.col("name") == F.col("symbol")) | F.endswith("name", F.concat(F.lit("::"), "symbol"))
     return rows.filter("symbol is not null").agg(F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 4).alias("symbol_hit_rate"))
 
 

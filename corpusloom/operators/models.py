@@ -223,7 +223,5 @@ class HttpReranker:
                 if not 0 <= r["index"] < len(documents):
                     raise ModelError("the reranker named a document that it was not given")
                 scores[r["index"]] = float(r.get("relevance_score", r.get("score", 0.0)))
-            if None in scores:
-                raise ModelError("the reranker left out a document")
-            return scores  # type: ignore[return-value]
+            return [0.0 if x is None else x for x in scores]  # a document that the server leaves out has no say
         raise ModelError("no attempt was made")
