@@ -87,7 +87,7 @@ def line_chunks(text: str, rule: ChunkRule, first: int = 1) -> list[tuple[int, i
             continue
         end, size = i, 0
         while end < len(lines) and end - i < rule.max_lines:
-            more = sizes[end] + (1 if end > i else 0)
+            more = sizes[end] + 1  # each line counts with its end, the first as well
             if end > i and size + more > rule.max_bytes:
                 break
             size += more
@@ -97,7 +97,7 @@ def line_chunks(text: str, rule: ChunkRule, first: int = 1) -> list[tuple[int, i
             break
         n = end - i
         i += n - rule.overlap if n > rule.overlap else n
-    return [x for x in out if x[2].strip()]
+    return out
 
 
 def heading_chunks(text: str, rule: ChunkRule) -> list[tuple[int, int, str]]:

@@ -141,6 +141,7 @@ def _end_of_item(code: str, at: int, stop: int) -> tuple[int, int, int]:
 def _scan(text: str, lang: str) -> list[Item]:
     code, rules, sep = _blanked(text, lang), RULES[lang], SEPARATOR.get(lang, ".")
     out: list[Item] = []
+    past = 0  # how far a declaration reached that goes on behind its own line
 
     def emit(a: int, b: int, kind: str, name: str | None) -> None:
         first = text.count("\n", 0, a) + 1
@@ -157,6 +158,10 @@ def _scan(text: str, lang: str) -> list[Item]:
                 at = m.end() if m else at + 1
                 continue
             word = re.compile(r"\w+").match(code, at)
+            group = re.compile(r"type\s*\(").match(code, at) if lang == "go" else None
+            if group:
+                at = type_group(group.end(), stop)
+                continue
             end, body, body_end = _end_of_item(code, at, stop)
             if not word or word.group() not in STATEMENTS or (lang == "cpp" and word.group() == "using"):
                 for pattern, kind, holds in rules:
@@ -165,9 +170,23 @@ def _scan(text: str, lang: str) -> list[Item]:
                         continue
                     if handle(m, kind, holds, at, end, body, body_end, owner, inside):
                         break
-            at = max(end, at + 1)
+            at = max(end, at + 1, past)
+
+    def type_group(at: int, stop: int) -> int:
+        """Emit each type of a bracketed group; returns where the group ends."""
+        depth, close = 1, at
+        while close < stop and depth:
+            depth += (code[close] == "(") - (code[close] == ")")
+            close += 1
+        entry = re.compile(rf"[\s;]*({_NAME[1:-1]})(?:\[[^\]]*\])?\s*(struct\b|interface\b)?")
+        while (m := entry.match(code, at, close - 1)) and m.end() > m.start(1):
+            end = max(_end_of_item(code, m.start(1), close - 1)[0], m.end())
+            emit(m.start(1), end, m.group(2) or "type", m.group(1))
+            at = end
+        return close
 
     def handle(m, kind, holds, at, end, body, body_end, owner, inside) -> bool:
+        nonlocal past
         name = m.group(m.lastindex) if m.lastindex else ""
         if lang == "rust":
             if kind == "impl":
@@ -200,10 +219,12 @@ def _scan(text: str, lang: str) -> list[Item]:
                 i += 1
                 if depth == 0:
                     break
-            inner_end = _end_of_item(code, i, end if body else len(code))[0]
+            begin = re.compile(r"\s*").match(code, i).end()  # the declaration may stand on the next line
+            inner_end = _end_of_item(code, begin, end if body else len(code))[0]
             for pattern, k2, _ in rules[2:]:
-                m2 = pattern.match(code, re.compile(r"\s*").match(code, i).end(), inner_end)
+                m2 = pattern.match(code, begin, inner_end)
                 if m2:
+                    past = inner_end
                     emit(at, inner_end, k2, m2.group(1))
                     return True
             return False

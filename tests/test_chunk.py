@@ -67,3 +67,20 @@ def test_headings_agree_with_their_sql_form(spark):
     got = chunk.chunk_files(files, rules).collect()
     assert {(r.file, r.start_line, r.end_line, r.text) for r in got if r.file in texts} == want
     assert ("F" in {r.name for r in got}) and [r.text for r in got if r.file == "h"] == ["x\ny"]
+
+
+def test_go_type_groups_and_templates_on_a_line_of_their_own():
+    from corpusloom.operators import syntax
+
+    text = "package a\n\ntype (\n\tA int\n\tB struct {\n\t\tx int\n\t}\n\tC[T any] interface {\n\t\tf()\n\t}\n)\n\nfunc f() {\n}\n"
+    assert [x[:4] for x in syntax.parse(text, "go")] == [(4, 4, "type", "A"), (5, 7, "struct", "B"), (8, 10, "interface", "C"), (13, 14, "fn", "f")]
+    text = "int a() { return 1; }\n\ntemplate <typename T>\nT f(T a) {\n  return a;\n}\n\nint g() { return 2; }\n"
+    assert [x[:4] for x in syntax.parse(text, "cpp")] == [(1, 1, "fn", "a"), (3, 6, "fn", "f"), (8, 8, "fn", "g")]
+
+
+def test_line_windows_count_every_line_end_and_keep_blank_windows():
+    from corpusloom.operators import chunk
+
+    rule = chunk.ChunkRule("lines", 60, 1, 29)
+    assert [x[:2] for x in chunk.line_chunks("\n".join(["x" * 9] * 6), rule)] == [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    assert [x[:2] for x in chunk.line_chunks("\n".join(["a", "", "", "b"]), chunk.ChunkRule("lines", 1, 0, 100))] == [(1, 1), (2, 2), (3, 3), (4, 4)]
