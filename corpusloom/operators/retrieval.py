@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.code_text import code_tokens, is_bare_symbol_query, query_names_symbol, query_words, snippet, truncated
+from ..session import keep
 
 K1, B = 1.2, 0.75
 BOOST = {"content": 1.0, "name": 3.0}
@@ -54,6 +55,23 @@ def build_postings(corpus: DataFrame, fields: tuple[str, ...] = ("content", "nam
     return Postings(terms, lengths, stats)
 
 
+def query_postings(corpus: DataFrame, query: str, fields: tuple[str, ...] = ("content", "name")) -> Postings:
+    """Postings of one query's tokens, where no stored ones are at hand: the corpus is read and tokenised once.
+
+    Field lengths and statistics are those of the whole corpus; what is kept of a text is
+    its lengths and the places of the query's tokens.
+    """
+    wanted = [r.tok for r in query_terms(query, corpus).select("tok").distinct().collect()]  # of one query
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), code_tokens(F.coalesce(F.col(f), F.lit(""))).alias("toks")) for f in fields]))
+    docs = corpus.select("chunk_id", each.alias("e")).select("chunk_id", "e.field", "e.toks")
+    places = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda x: x["tok"].isin(wanted))
+    held = keep(docs.select("chunk_id", "field", F.size("toks").alias("dl"), places.alias("hits")))
+    hits = held.select("field", "chunk_id", F.explode("hits").alias("h")).select("field", "chunk_id", "h.pos", "h.tok")
+    terms = hits.groupBy("field", "tok", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    stats = held.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Postings(terms, held.select("field", "chunk_id", "dl"), stats)
+
+
 def query_terms(query: str, df: DataFrame) -> DataFrame:
     """(word, at, tok) of a query: its words in order and their tokens; a word of several tokens is a phrase."""
     one = df.sparkSession.range(1).select(F.posexplode(query_words(F.lit(query))).alias("word", "toks"))

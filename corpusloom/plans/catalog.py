@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import code_text as T
+from ..functions.words import extension
 from ..operators import changes, chunk, evaluate, retrieval
 from ..sources import policy
 from ..tables import read, spread
@@ -216,20 +217,20 @@ DENSE_SQL = f"""dense as (select chunk_id, list_cosine_similarity(e, q) as dense
 @query(f"with {CORPUS_SQL}, {_bm25_sql(WORDS)} select chunk_id, round(sparse_score, 6) as sparse_score, sparse_rank from sparse")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Two fields, phrases, OR of words."""
-    return _rounded(retrieval.bm25(retrieval.build_postings(corpus(spark, d)), QUERY, K), "sparse")
+    return _rounded(retrieval.bm25(retrieval.query_postings(corpus(spark, d), QUERY), QUERY, K), "sparse")
 
 
 @query(f"with {CORPUS_SQL}, {_bm25_sql(WORDS, 'python')} select chunk_id, round(sparse_score, 6) as sparse_score, sparse_rank from sparse")
 def bm25_topk_lang(spark: SparkSession, d: str) -> DataFrame:
     """The language filter lies below the top-k."""
     c = corpus(spark, d)
-    return _rounded(retrieval.bm25(retrieval.build_postings(c), QUERY, K, c, "python"), "sparse")
+    return _rounded(retrieval.bm25(retrieval.query_postings(c, QUERY), QUERY, K, c, "python"), "sparse")
 
 
 @query(f"with {CORPUS_SQL}, {_bm25_sql([['retry', 'layer'], ['merge'], ['batch']])} select chunk_id, round(sparse_score, 6) as sparse_score, sparse_rank from sparse")
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     """A colon parts words, an underscore makes a phrase."""
-    return _rounded(retrieval.bm25(retrieval.build_postings(corpus(spark, d)), PHRASE, K), "sparse")
+    return _rounded(retrieval.bm25(retrieval.query_postings(corpus(spark, d), PHRASE), PHRASE, K), "sparse")
 
 
 def _rounded(hits: DataFrame, leg: str) -> DataFrame:
@@ -253,7 +254,7 @@ def dense_topk_lang(spark: SparkSession, d: str) -> DataFrame:
 def _legs(spark: SparkSession, d: str, k: int = K):
     c = corpus(spark, d)
     v = vectors(spark, d, c)
-    return c, retrieval.dense(v, _query_vector(v), k, DIM), retrieval.bm25(retrieval.build_postings(c), QUERY, k)
+    return c, retrieval.dense(v, _query_vector(v), k, DIM), retrieval.bm25(retrieval.query_postings(c, QUERY), QUERY, k)
 
 
 def _fused_sql(k: int = K) -> str:
@@ -310,20 +311,23 @@ def output_budget(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- snapshots
 
-OLD = "select relative_path as file, case when file_id % 7 = 0 then sha256(coalesce(file_sha256, '') || 'x') else file_sha256 end as file_sha256 from n where file_id % 10 <> 0"
-NOW_SQL = "n as (select repo || ':' || relative_path as relative_path, file_id, any_value(file_sha256) as file_sha256 from files group by all having file_id % 11 <> 3 or file_id % 2 = 0)"
+# The current snapshot is the whole file table. In the old one there was no TOML yet, Markdown
+# had other contents, and every shell script had a backup copy.
+EXT_SQL = "lower(regexp_extract({}, '[.]([^./]+)$', 1))"
+NOW_SQL = "n as (select repo || ':' || relative_path as relative_path, file_id, any_value(file_sha256) as file_sha256 from files group by all)"
+OLD = f"select relative_path as file, case when {EXT_SQL.format('relative_path')} = 'md' then sha256(coalesce(file_sha256, '') || 'x') else file_sha256 end as file_sha256 from n where {EXT_SQL.format('relative_path')} <> 'toml'"
 
 
 def _snapshots(spark: SparkSession, d: str):
     files = read(spark, d, "files", "repo", "relative_path", "file_id", "file_sha256").groupBy(F.concat(F.col("repo"), F.lit(":"), F.col("relative_path")).alias("file"), "file_id").agg(F.any_value("file_sha256").alias("file_sha256"))
-    now = files.filter("file_id % 11 <> 3 or file_id % 2 = 0")
-    edited = F.when(F.col("file_id") % 7 == 0, F.sha2(F.concat(F.coalesce("file_sha256", F.lit("")), F.lit("x")), 256)).otherwise(F.col("file_sha256"))
-    gone = files.filter("file_id % 13 = 5").select(F.concat(F.col("file"), F.lit("~")).alias("file"), "file_sha256")
-    old = now.filter("file_id % 10 <> 0").select("file", edited.alias("file_sha256")).unionByName(gone)
-    return now.select("file", "file_sha256"), old
+    kind = extension(F.col("file"))
+    edited = F.when(kind == "md", F.sha2(F.concat(F.coalesce("file_sha256", F.lit("")), F.lit("x")), 256)).otherwise(F.col("file_sha256"))
+    gone = files.filter(kind == "sh").select(F.concat(F.col("file"), F.lit("~")).alias("file"), "file_sha256")
+    old = files.filter(kind != "toml").select("file", edited.alias("file_sha256")).unionByName(gone)
+    return files.select("file", "file_sha256"), old
 
 
-SNAPSHOT_SQL = f"""{NOW_SQL}, g as (select distinct repo || ':' || relative_path || '~' as file, file_id, file_sha256 from files where file_id % 13 = 5),
+SNAPSHOT_SQL = f"""{NOW_SQL}, g as (select distinct repo || ':' || relative_path || '~' as file, file_id, file_sha256 from files where {EXT_SQL.format("relative_path")} = 'sh'),
 o as ({OLD} union all select file, any_value(file_sha256) from g group by file)"""
 
 
@@ -510,13 +514,13 @@ _NAMED_SQL = rf"(lower('{SYMBOL}') = lower(name)) or ((contains(name, '::') or c
 def symbol_boost(spark: SparkSession, d: str) -> DataFrame:
     """A symbol's exact name outweighs a first place."""
     c = corpus(spark, d)
-    sparse = retrieval.bm25(retrieval.build_postings(c), SYMBOL, K)
+    sparse = retrieval.bm25(retrieval.query_postings(c, SYMBOL), SYMBOL, K)
     dense = spark.createDataFrame([], "chunk_id string, dense_score double, dense_rank int")
     merged = retrieval.merge(c, dense, sparse, SYMBOL)
     return retrieval.head_and_tail(merged, None, retrieval.SearchSettings(), 10).select("chunk_id", F.round("score", 9).alias("score"))
 
 
-@query(f"with {QRELS_SQL}, g as (select search_id, arg_min(name, rank) as name, count(*) as n from r where name is not null group by search_id), y as (select search_id, name, regexp_extract(name, '(?s)(?:.*::)?(.*)', 1) as symbol from g) select round(avg(coalesce((name = symbol or suffix(name, '::' || symbol) or suffix(name, '.' || symbol))::int, 0)), 4) as symbol_hit_rate from y")
+@query(f"with {QRELS_SQL}, g as (select search_id, arg_min(name, rank) as name, count(*) as n from r where name is not null group by search_id), y as (select search_id, name, regexp_extract(name, '(?s)(?:.*::)?(.*)', 1) as symbol from g) select round(avg(coalesce((name = symbol or suffix(name, '::' || symbol))::int, 0)), 4) as symbol_hit_rate from y")
 def eval_symbol_hits(spark: SparkSession, d: str) -> DataFrame:
     """A6."""
     hits = read(spark, d, "search_results", "search_id", "result_id", "name", "score").groupBy("search_id", "result_id").agg(F.any_value("name").alias("name"), F.max(F.coalesce(F.col("score").cast("double"), F.lit(-1e30))).alias("score"))
@@ -524,11 +528,12 @@ def eval_symbol_hits(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.symbol_hit_rate(first.withColumn("symbol", F.regexp_extract("name", "(?s)(?:.*::)?(.*)", 1)))
 
 
-@query("with s as (select event_type as metric, median(value) as after from events where event_id % 2 = 0 group by event_type), b as (select event_type as metric, median(value) as before, min(value) as low, max(value) as high from events where event_id % 2 = 1 group by event_type) select metric, before, after, after - before as delta, after between low and high as within_spread from s join b using (metric)")
+@query("with s as (select event_type as metric, median(value) as after from events where event_id >= (select (min(event_id) + max(event_id)) / 2.0e0 from events) group by event_type), b as (select event_type as metric, median(value) as before, min(value) as low, max(value) as high from events where event_id < (select (min(event_id) + max(event_id)) / 2.0e0 from events) group by event_type) select metric, before, after, after - before as delta, after between low and high as within_spread from s join b using (metric)")
 def eval_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """One half of the events stands for a new run, the other for its baseline."""
+    """The later half of the events stands for a new run, the earlier one for its baseline; every event is used."""
     rows = read(spark, d, "events", "event_id", "event_type", "value").withColumnRenamed("event_type", "metric")
-    return evaluate.against_baseline(evaluate.spread(rows.filter("event_id % 2 = 0")), evaluate.spread(rows.filter("event_id % 2 = 1")))
+    rows = rows.join(F.broadcast(rows.agg(((F.min("event_id") + F.max("event_id")) / F.lit(2.0)).alias("middle"))), F.lit(True))
+    return evaluate.against_baseline(evaluate.spread(rows.filter("event_id >= middle")), evaluate.spread(rows.filter("event_id < middle")))
 
 
 @query("select distinct user_id, event_type from events")
