@@ -111,6 +111,7 @@ _BRACES = re.compile(f"[{_C['{']}{_C['}']}{_C[';']}]")
 _TELLING = {lang: re.compile(_set(k for k in ks)) for lang, ks in g.OPENERS.items()}
 _KIND = {lang: {_C[k]: kind for k, kind in ks.items()} for lang, ks in g.OPENERS.items()}
 _CUTS = {"top", "block", "members", "switch", "items", "fields", "match", "any", "enum", "types", "specs"}
+_PLAIN = {"paren", "value", "for", "macro"}
 _is = lambda code, words: code in {_C[t] for t in words.split()}
 _VALUE = {_C[t] for t in "= , ( [ : ? return ] && || ?? + == += := in of yield await default".split()}
 _AFTER = {_C[t] for t in ") else do try finally ; }".split()} | {""}
@@ -214,12 +215,16 @@ def lex(text: str, lang: str, pattern: re.Pattern, classes: _Classes) -> tuple[s
     level, stack, out, brackets, flat = _Level("top", 0), [], [], [], []
     groups, line, prev, prev2 = 0, 0, "", ""
     rust, python, brace, script = lang == "rust", lang == "python", lang not in ("python", "json"), lang in g.SCRIPT
+    comma, fault = _C[","], _C[g.FAULT]
     semicolon, close_brace, ends = _C[";"], _C["}"], lang in ("rust", "java", *g.SCRIPT)
     pieces = _STOPS.split(stream)  # what stands between stops, and the stops
 
     def cut() -> None:
         if level.parts:
-            out.append((len(stack), level.grp, level.run, level.holds, "".join(level.parts), level.indent))
+            shape = "".join(level.parts)
+            # what holds expressions only has no production: its pairs are judged, and separators in it
+            if level.holds not in _PLAIN or semicolon in shape or shape[-1] == comma or fault in shape:
+                out.append((len(stack), level.grp, level.run, level.holds, shape, level.indent))
             level.parts = []
         level.run += 1
 
