@@ -123,21 +123,33 @@ def operators(lang: str) -> list[str]:
 
 
 def _codes() -> dict[str, str]:
-    """A character of the private use area for every class but TOML's."""
+    """A character for every class but TOML's.
+
+    Sets of characters below 256 are bitmaps to a regular expression, all others chains of
+    comparisons, and texts of such characters take a byte each. Line ends and what means
+    something in a pattern are left out; the common classes come first and are ASCII.
+    """
     classes = ["^", *OPERANDS, "l", "'", "$", FAULT, *OPEN, *CLOSE, "match", "case"]
     for lang in [*KEYWORDS, "json"]:
         classes += operators(lang) + (KEYWORDS[lang].split() + LITERALS[lang].split() if lang in KEYWORDS else [])
-    return {c: chr(0xE000 + k) for k, c in enumerate(dict.fromkeys(classes))}
+    free = [c for c in map(chr, range(256)) if c.isascii() and c.isalnum()] + [chr(c) for c in (*range(0xA0, 0x100), *range(0x7F, 0xA0), *range(0x0E, 0x20)) if c != 0x85]
+    classes = list(dict.fromkeys(classes))
+    if len(classes) > len(free):
+        raise ValueError(f"{len(classes)} classes, but {len(free)} characters")
+    return dict(zip(classes, free))
 
 
 def coded(pattern: str) -> str:
-    """A pattern over classes as one over codes: classes are followed by a space, a bar or the end of a group."""
+    """A pattern over classes as one over codes: classes are followed by a space, a bar or the end of a group.
+
+    Marks of the private use area stand for the codes until the whole pattern is read.
+    """
     out, word, at = [], "", 0
 
     def flush() -> None:
         nonlocal word
         if word:
-            out.append(CODES[word])
+            out.append(_MARKS[word])
             word = ""
 
     while at < len(pattern):
@@ -158,7 +170,7 @@ def coded(pattern: str) -> str:
             flush()
             end = next(k for k in range(at + 1, len(pattern)) if pattern[k] == "]" and pattern[k - 1] != "\\")
             inner = pattern[at + 1 : end].replace("\\", "")
-            out.append("[" + "".join(x if "\ue000" <= x <= "\uf8ff" or x == "^" and not k else CODES[x] for k, x in enumerate(inner)) + "]")
+            out.append("[" + "".join(x if "\ue000" <= x <= "\uf8ff" or x == "^" and not k else _MARKS[x] for k, x in enumerate(inner)) + "]")
             at = end + 1
         elif c == "{":
             flush()
@@ -177,7 +189,7 @@ def coded(pattern: str) -> str:
             word += c
             at += 1
     flush()
-    return "".join(out)
+    return "".join(out).translate(_CODED)
 
 
 def _escaped(token: str) -> str:
@@ -247,11 +259,13 @@ OPENERS["typescript"] = OPENERS["javascript"] | {"interface": "types", "enum": "
 
 
 CODES = _codes()
+_MARKS = {c: chr(0xE000 + k) for k, c in enumerate(CODES)}
+_CODED = {ord(_MARKS[c]): code for c, code in CODES.items()}
 
 
 def _x(*banned: str) -> str:
     """Any tokens but those banned."""
-    return f"[^{''.join(CODES[t] for t in ' '.join(banned).split())}]*"
+    return f"[^{''.join(_MARKS[t] for t in ' '.join(banned).split())}]*"
 
 
 _ENDS_BLOCK = r"\{ \} "

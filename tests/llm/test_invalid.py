@@ -126,3 +126,16 @@ def test_equals_the_parsers_of_the_standard_library(spark):
                 want.add(r.file_id)
     got = {r.file_id for r in invalid.invalid_files(files).collect() if r.lang in ("python", "json", "toml")}
     assert got == want and want
+
+
+def test_productions_are_judged_once_for_a_shape_by_compiled_code(spark):
+    assert max(invalid.g.CODES.values()) < "Ā" and not {*"\n\r\x85"} & {*invalid.g.CODES.values()}
+    text = "def f():\n" + "    x = g(1, [2, 3])\n" * 1000 + "    y = 1 +\n"
+    lexed = invalid.lexed(spark.createDataFrame([(1, "python", text)], "file_id long, lang string, text string")).localCheckpoint()
+    row = lexed.first()
+    assert len(row.statements) == 1002 and len(row.shapes) == len({*row.shapes}) == 5
+    faults = invalid.shape_faults(lexed)
+    assert faults.count() == 1
+    stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(faults._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    assert sizes and max(sizes) <= 8000  # the JVM interprets larger methods
